@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.operators import heavy, skew
+from strandlake.operators import heavy, skew, spikes
 from strandlake.tables import table
 
 QUERIES: dict = {}
@@ -18,6 +18,18 @@ def query(f):
     return f
 
 
+@query
+def p2_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every reading once, with the reason for which it is implausible."""
+    return spikes.cycle_readings(*(table(spark, sf_dir, t) for t in ("tile_cycle_stat", "tile", "read_meta")))
+
+
+@query
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keys of the implausible readings."""
+    return p2_readings(spark, sf_dir).where(F.col("reason").isNotNull()).select(*spikes.SOURCE, "cycle_no")
+
+
 @query
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 barcodes with the most rows."""
