@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.operators import heavy, skew, spikes
+from strandlake.operators import heavy, nested, skew, spikes
 from strandlake.tables import table
 
 QUERIES: dict = {}
@@ -18,6 +18,78 @@ def query(f):
     return f
 
 
+#: Tables of a run report by depth, and what identifies their rows.
+REPORT = ["flowcell", "lane", "tile", "read", "mismatchesbycycle", "cycle"]
+INLINE = ["stats", "pf", "raw", "allfragments", "uniquelyalignedfragments"]
+IDENTIFIERS = {
+    "flowcell": ("flowcellid", "flowcell", False),
+    "lane": ("number", "lane", True),
+    "tile": ("number", "tile_no", True),
+    "read": ("number", "read_no", True),
+    "cycle": ("number", "cycle_no", True),
+}
+
+
+def _report(spark: SparkSession, sf_dir: str, depth: int) -> tuple[DataFrame, nested.Graph]:
+    """Rows of the report's table at a depth; elements that the data doesn't repeat are tables all the same."""
+    records = table(spark, sf_dir, "stats_record").where(F.col("payload").isNotNull())
+    graph = nested.Graph.of(nested.schema_edges(records, "payload"))
+    graph.repeated.update(REPORT)
+    graph.kept_inline.update(INLINE)
+    return nested.shred(records, "record_id", "payload", graph, REPORT[:depth], IDENTIFIERS), graph
+
+
+def _pf_class(way: str):
+    return F.when(F.element_at(F.split(way, "/"), 1) == "pf", "Pf").when(F.element_at(F.split(way, "/"), 1) == "raw", "Raw")
+
+
+@query
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of the Cycle objects in MismatchesByCycle."""
+    rows, _ = _report(spark, sf_dir, 6)
+    keys = ["record_id", "flowcell", "lane", "tile_no", "pf_class", "read_no", "cycle_no"]
+    return rows.select(*keys[:4], _pf_class("read_way").alias("pf_class"), *keys[5:]).dropna().distinct()
+
+
+@query
+def p1_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lanes with their flowcell and record."""
+    rows, graph = _report(spark, sf_dir, 2)
+    return nested.flat(rows, graph, "lane", (("number",),)).drop("flowcell_way", "lane_way")
+
+
+@query
+def p1_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles with their lane, flowcell and record; the single Pf and Raw objects are inlined."""
+    rows, graph = _report(spark, sf_dir, 3)
+    return nested.flat(rows, graph, "tile", (("number",),)).drop("flowcell_way", "lane_way", "tile_way")
+
+
+@query
+def p1_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads of a tile's Pf or Raw object with the keys of their parents."""
+    rows, graph = _report(spark, sf_dir, 4)
+    rows = rows.withColumn("pf_class", _pf_class("read_way")).drop("flowcell_way", "lane_way", "tile_way", "read_way")
+    return nested.flat(rows, graph, "read", (("number",), ("length",)))
+
+
+@query
+def p1_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cycles of a read with their kind of fragments and the keys of their parents."""
+    rows, graph = _report(spark, sf_dir, 6)
+    kind = F.element_at(F.split("mismatchesbycycle_way", "/"), 1)
+    rows = rows.withColumn("pf_class", _pf_class("read_way")).withColumn("fragment_kind", kind).drop(*(f"{t}_way" for t in REPORT))
+    return nested.flat(rows, graph, "cycle", (("number",), ("one",), ("more",)))
+
+
+@query
+def p1_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables that shared inlining gives for the run reports, with their parents."""
+    records = table(spark, sf_dir, "stats_record").where(F.col("payload").isNotNull())
+    graph = nested.Graph.of(nested.schema_edges(records, "payload"))
+    return spark.createDataFrame(graph.relations(), "table_name string, parent_table string, way string")
+
+
 @query
 def p2_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every reading once, with the reason for which it is implausible."""
