@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.operators import heavy, nested, skew, spikes
+from strandlake.operators import drift, heavy, nested, skew, spikes
 from strandlake.tables import table
 
 QUERIES: dict = {}
@@ -102,6 +102,28 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_readings(spark, sf_dir).where(F.col("reason").isNotNull()).select(*spikes.SOURCE, "cycle_no")
 
 
+def _catalogue(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return drift.catalogue(table(spark, sf_dir, "sample_sheet_line"), table(spark, sf_dir, "sheet_alias"))
+
+
+@query
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every change of a station's sheets."""
+    return drift.changes(_catalogue(spark, sf_dir)[0])
+
+
+@query
+def p3_lifespans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How long each station's sheets kept a field under one header and kind."""
+    return drift.lifespans(_catalogue(spark, sf_dir)[0])
+
+
+@query
+def p3_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of all sheets in one table."""
+    return drift.common_table(_catalogue(spark, sf_dir)[1])
+
+
 @query
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 barcodes with the most rows."""
