@@ -49,7 +49,7 @@ def kind(value: Column) -> Column:
 
 
 def sheets(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Headers (FILE, header_line, separator, names) and body lines (FILE, line_no, text) of all files.
+    """Headers (FILE, header_line, separator, names) and cells (FILE, line_no, names, values) of all files.
 
     A re-delivered line counts once. Marks and line ends are dropped, as are comments, blank lines and
     repeats of the header. A file without a header line is in neither.
@@ -65,7 +65,7 @@ def sheets(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     count = lambda sep: F.length("h.text") - F.length(F.replace("h.text", F.lit(sep), F.lit("")))
     best = F.greatest(*(F.struct(count(s).alias("n"), F.lit(-i).alias("i"), F.lit(s).alias("s")) for i, s in enumerate(SEPARATORS)))
     header = header.select(*FILE, F.col("h.line_no").alias("header_line"), F.col("h.text").alias("header_text"), best["s"].alias("separator"))
-    header = header.withColumn("names", cells(F.col("header_text"), F.col("separator")))
+    header = written(header.withColumn("names", cells(F.col("header_text"), F.col("separator"))))
     body = after.join(header.select(*FILE, "header_line", "header_text", "separator", "names"), FILE)
     body = body.where((F.col("line_no") > F.col("header_line")) & (normal(F.col("text")) != normal(F.col("header_text"))))
     return header.drop("header_text"), body.select(*FILE, "line_no", "names", cells(F.col("text"), F.col("separator")).alias("values"))
@@ -129,9 +129,10 @@ def catalogue(lines: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFram
     """
     header, body = sheets(lines)
     fields = F.broadcast(known_fields(aliases))
-    # both are read several times below; parsing the lines again each time would cost more
-    columns, values = written(columns_of(header, fields)), written(values_of(body))
-    found = field_of_unknown(columns, values, fields)
+    # each is read several times below; parsing the lines again each time would cost more
+    values = written(values_of(body))
+    columns = written(columns_of(header, fields))
+    found = written(field_of_unknown(columns, values, fields))
     columns = columns.join(found, ["station", "key"], "left").withColumn("score", F.when(F.col("field").isNotNull(), 9.0).otherwise(F.col("found_score")))
     columns = columns.withColumn("field", F.coalesce("field", "found")).where(F.col("field").isNotNull())
     pick = F.max_by(F.struct("column", "key"), F.struct("score", -F.col("column")))
@@ -140,7 +141,7 @@ def catalogue(lines: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFram
     real = cell.where((F.col("field") != "barcode") | ~F.lower("value").isin("unknown", "undetermined"))
     kinds = real.groupBy(*FILE, "field").agg(F.min(kind(F.col("value"))).alias("a"), F.max(kind(F.col("value"))).alias("b"))
     kinds = kinds.select(*FILE, "field", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise("text").alias("kind"))
-    return columns.join(kinds, [*FILE, "field"], "left"), cell
+    return written(columns.join(kinds, [*FILE, "field"], "left")), cell
 
 
 def changes(columns: DataFrame) -> DataFrame:
