@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strandlake.llm import bpe
+from strandlake.llm import bpe, packing, splitting
 from strandlake.tables import table
 
 QUERIES: dict = {}
@@ -30,3 +31,21 @@ def p6_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["p6_texts"] = "SELECT doc_id, coalesce(text, '') AS text FROM documents"
+
+
+def _budget(spark: SparkSession, sf_dir: str, name: str) -> int:
+    """A size in tokens from the fixed table of budgets."""
+    return table(spark, sf_dir, "token_budget").where(F.col("budget_name") == name).agg(F.max("tokens")).first()[0]
+
+
+@query
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of every document, or of every piece of a document larger than a container."""
+    return packing.pack(table(spark, sf_dir, "documents"), "doc_id", "text", _budget(spark, sf_dir, "container"))
+
+
+@query
+def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every document."""
+    size, overlap = _budget(spark, sf_dir, "piece"), _budget(spark, sf_dir, "overlap")
+    return splitting.split(table(spark, sf_dir, "documents"), "doc_id", "text", size, overlap)
