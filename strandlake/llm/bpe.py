@@ -27,18 +27,14 @@ from pyspark.sql import functions as F
 
 #: Folder of the tokenizers' files and name of the rank file; parameters of every function here.
 TOKENIZERS, RANKS = "/opt/tokenizers", "byte_bpe_50k.tiktoken"
-#: Fixed values of the tokenizer: the pattern of words; white space is spelled out, as the JVM's \s is
-#: ASCII only.
+#: Fixed values of the tokenizer: the pattern of words. White space is spelled out, as the JVM's \s is
+#: ASCII only; possessive quantifiers find the same words without going back.
 SPACE = r"\t-\r \u0085   -     　"
-PATTERN = (
-    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+"
-    rf"| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-)
+PATTERN = rf"'(?:[stmd]|re|ve|ll)| ?\p{{L}}++| ?\p{{N}}++| ?[^{SPACE}\p{{L}}\p{{N}}]++|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 #: Words in the literal map, slots of the map (a power of two), bytes up to which a word is mapped.
-MAPPED, SLOTS, MAPPED_BYTES = 1 << 17, 1 << 19, 64
-#: Bits of an id, and of a position in a word; words longer than LONG bytes are folded pair by pair
-#: over all its occurrences at once.
-ID_BITS, POSITION_BITS, LONG = 17, 28, 192
+MAPPED, SLOTS, MAPPED_BYTES = 1 << 16, 1 << 18, 64
+#: Bits of an id; a list longer than LONG ids has a pair merged at all its places at once.
+ID_BITS, LONG = 17, 192
 #: Shifts of a row that are tried at once.
 CANDIDATES = 4096
 
@@ -81,7 +77,7 @@ def load_ranks(folder: str = TOKENIZERS, name: str = RANKS) -> Ranks:
     n = max(ids.values()) + 1
     # every shift is below n + the number of cells: a cell that fits nowhere else goes past the end
     taken = np.zeros(2 * n + len(ids) + CANDIDATES, bool)
-    slots = np.full(len(taken), -1, np.int64)
+    slots = np.full(len(taken), (1 << 16) - 1 << ID_BITS, np.int64)  # a left id that doesn't exist
     shift = np.zeros(n, np.int64)
     free = 0
     for left, cells in sorted(rows.items(), key=lambda x: (-len(x[1]), x[0])):
@@ -102,9 +98,14 @@ def load_ranks(folder: str = TOKENIZERS, name: str = RANKS) -> Ranks:
     return Ranks(ids, shift.tolist(), slots[: int(shift.max()) + n].tolist())
 
 
+def let(value: Column, then) -> Column:
+    """``then`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def literal(values: list, kind: str) -> Column:
     """A long list as one literal: parsed once, when the plan is folded."""
-    return F.from_json(F.lit(json.dumps(values)), kind)
+    return F.from_json(F.lit(json.dumps(values, separators=(",", ":"), ensure_ascii=False)), kind)
 
 
 class Encoder:
@@ -114,6 +115,7 @@ class Encoder:
         self.ranks = load_ranks(folder, name)
         self.shift = literal(self.ranks.shift, "array<int>")
         self.slots = literal(self.ranks.slots, "array<bigint>")
+        self.lefts = literal([i << ID_BITS for i in range(len(self.ranks.shift))], "array<bigint>")
         self.bytes = literal([self.ranks.ids[bytes([b])] for b in range(256)], "array<int>")
 
     @staticmethod
@@ -127,38 +129,37 @@ class Encoder:
         return F.transform(each, lambda c: F.get(self.bytes, F.ascii(c)))
 
     def _rank(self, left: Column, right: Column) -> Column:
-        """Id of a merged pair; 2**ID_BITS or more if the pair has none."""
-        return F.get(self.slots, F.get(self.shift, left) + right).bitwiseXOR(F.shiftleft(left.cast("long"), ID_BITS))
-
-    def _best(self, ids: Column) -> Column:
-        """Lowest rank and its leftmost place, packed into one number."""
-        pairs = F.transform(F.slice(ids, 1, F.size(ids) - 1), lambda a, i: F.shiftleft(self._rank(a, F.get(ids, i + 1)).bitwiseAND(F.lit((1 << 34) - 1)), POSITION_BITS) + i)
-        return F.array_min(pairs)
+        """Id of a merged pair; 2**ID_BITS or more (or null) if the pair has none."""
+        return F.get(self.slots, F.get(self.shift, left) + right).bitwiseXOR(F.get(self.lefts, left))
 
     def fold(self, word: Column) -> Column:
-        """Ids of one word. Null for null, empty for an empty word."""
-        start = F.struct(self.of_bytes(word).alias("ids"), F.lit(False).alias("done"))
-        limit = F.lit(1 << (ID_BITS + POSITION_BITS)).cast("long")
-        last = F.lit((1 << POSITION_BITS) - 1).cast("long")
-        steps = F.sequence(F.lit(1), F.greatest(F.octet_length(word), F.lit(1)))
+        """Ids of one word. Null for null, empty for an empty word.
 
-        def step(state: Column, _: Column) -> Column:
-            ids = state["ids"]
+        Each step ranks all adjacent pairs of ids and merges the leftmost one of lowest rank; a list
+        without such a pair is marked as done, and the remaining steps cost nothing.
+        """
+        steps = F.sequence(F.lit(1), F.greatest(F.octet_length(word) - 1, F.lit(1)))
+        state = lambda ids, done: F.struct(ids.alias("ids"), F.lit(done).alias("done"))
 
-            def merged(best: Column) -> Column:
-                at = best.bitwiseAND(last).cast("int")
-                one = F.array(F.shiftright(best, POSITION_BITS).cast("int"))
-                short = F.concat(F.slice(ids, 1, at), one, F.slice(ids, at + 3, F.size(ids)))
-                new = F.when(F.size(ids) <= LONG, short).otherwise(self._everywhere(ids, at, one))
-                return F.when(best < limit, F.struct(new.alias("ids"), F.lit(False).alias("done"))).otherwise(F.struct(ids.alias("ids"), F.lit(True).alias("done")))
+        def step(before: Column, _: Column) -> Column:
+            ids = before["ids"]
 
-            found = F.get(F.transform(F.array(self._best(ids)), merged), F.lit(0))
-            return F.when(state["done"] | (F.size(ids) < 2), state).otherwise(found)
+            def with_ranks(ranks: Column) -> Column:
+                def merged(at: Column) -> Column:
+                    new = F.get(ranks, at - 1).cast("int")
+                    short = F.concat(F.slice(ids, 1, at - 1), F.array(new), F.slice(ids, at + 2, F.size(ids)))
+                    more = F.when(F.size(ids) <= LONG, short).otherwise(self._everywhere(ids, at - 1, new))
+                    return F.when(F.get(ranks, at - 1) < (1 << ID_BITS), state(more, False)).otherwise(state(ids, True))
 
-        return F.when(F.length(word) == 0, F.array().cast("array<int>")).otherwise(F.aggregate(steps, start, step, lambda s: s["ids"]))
+                return let(F.array_position(ranks, F.array_min(ranks)).cast("int"), merged)
+
+            return F.when(before["done"], before).otherwise(let(F.zip_with(ids, F.slice(ids, 2, F.size(ids)), self._rank), with_ranks))
+
+        done = F.aggregate(steps, state(self.of_bytes(word), False), step, lambda s: s["ids"])
+        return F.when(F.length(word) == 0, F.array().cast("array<int>")).otherwise(done)
 
     @staticmethod
-    def _everywhere(ids: Column, at: Column, one: Column) -> Column:
+    def _everywhere(ids: Column, at: Column, new: Column) -> Column:
         """The pair at a place merged wherever it stands, from the left.
 
         Ids become characters (beyond the surrogates), for which that is a plain replacement.
@@ -166,20 +167,20 @@ class Encoder:
         char = lambda i: F.decode(F.unhex(F.lpad(F.hex(i + 0x10000), 8, "0")), "UTF-32")
         text = F.array_join(F.transform(ids, char), "")
         pair = F.concat(char(F.get(ids, at)), char(F.get(ids, at + 1)))
-        new = F.replace(text, pair, char(F.get(one, F.lit(0))))
-        return F.transform(F.split(new, ""), lambda c: F.ascii(c) - 0x10000)
+        return F.transform(F.split(F.replace(text, pair, char(new)), ""), lambda c: F.ascii(c) - 0x10000)
 
     def mapped_words(self, counts: DataFrame, limit: int = MAPPED) -> Column:
-        """Literal map of the most frequent words: slot -> struct(w, ids). At most ``limit`` words.
+        """Literal map of the most frequent words: slot -> struct(w, ids).
 
-        ``counts``: (word, n). Of words that share a slot the most frequent is kept.
+        ``counts``: (word, n). Of words that share a slot the most frequent is kept. The map has SLOTS
+        places and at most ``limit`` words of at most MAPPED_BYTES bytes, whatever the corpus.
         """
         few = counts.where(F.octet_length("word") <= MAPPED_BYTES).orderBy(F.desc("n"), "word").limit(limit)
-        few = few.groupBy(slot_of(F.col("word")).alias("slot")).agg(F.max_by("word", F.struct("n", "word")).alias("word"))
-        entries = few.select("slot", "word", self.fold(F.col("word")).alias("ids")).collect()
+        few = few.groupBy(slot_of(F.col("word")).alias("slot")).agg(F.max_by("word", F.struct("n", "word")).alias("w"))
         table: list = [None] * SLOTS
-        for e in entries:
-            table[e["slot"]] = {"w": e["word"], "ids": e["ids"]}
+        for batch in few.select("slot", "w", self.fold(F.col("w")).alias("ids")).toArrow().to_batches():
+            for slot, w, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                table[slot] = {"w": w, "ids": ids}
         return literal(table, "array<struct<w:string,ids:array<int>>>")
 
     def encode(self, text: Column, mapped: Column | None = None) -> Column:
@@ -188,8 +189,8 @@ class Encoder:
         if mapped is None:
             ids = F.transform(words, self.fold)
         else:
-            held = F.transform(words, lambda w: F.get(mapped, slot_of(w)))
-            ids = F.zip_with(words, held, lambda w, m: F.when(m["w"] == w, m["ids"]).otherwise(self.fold(w)))
+            held = lambda w: F.get(mapped, slot_of(w))
+            ids = F.transform(words, lambda w: F.when(held(w)["w"] == w, held(w)["ids"]).otherwise(self.fold(w)))
         return F.coalesce(F.flatten(ids), F.array().cast("array<int>"))
 
     def decode(self, ids: Column) -> Column:
@@ -208,7 +209,11 @@ def word_counts(documents: DataFrame, text: str) -> DataFrame:
 
 
 def encode_corpus(documents: DataFrame, ident: str, text: str, folder: str = TOKENIZERS, name: str = RANKS) -> DataFrame:
-    """(ident, ids) of every document, without special tokens; null and empty texts have no ids."""
+    """(ident, ids) of every document, without special tokens; null and empty texts have no ids.
+
+    The literals would fill every printed plan, so those are cut off.
+    """
+    documents.sparkSession.conf.set("spark.sql.maxPlanStringLength", 1 << 16)
     encoder = Encoder(folder, name)
     mapped = encoder.mapped_words(word_counts(documents, text))
     return documents.select(ident, encoder.encode(F.col(text), mapped).alias("ids"))
