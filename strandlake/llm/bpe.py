@@ -170,27 +170,24 @@ class Encoder:
         return F.transform(F.split(F.replace(text, pair, char(new)), ""), lambda c: F.ascii(c) - 0x10000)
 
     def mapped_words(self, counts: DataFrame, limit: int = MAPPED) -> Column:
-        """Literal map of the most frequent words: slot -> struct(w, ids).
+        """Literal map of the most frequent words, by slot: word -> ids.
 
-        ``counts``: (word, n). Of words that share a slot the most frequent is kept. The map has SLOTS
-        places and at most ``limit`` words of at most MAPPED_BYTES bytes, whatever the corpus.
+        ``counts``: (word, n). The map has SLOTS places and at most ``limit`` words of at most
+        MAPPED_BYTES bytes, whatever the corpus. A place holds a small map, mostly of one word.
         """
         few = counts.where(F.octet_length("word") <= MAPPED_BYTES).orderBy(F.desc("n"), "word").limit(limit)
-        few = few.groupBy(slot_of(F.col("word")).alias("slot")).agg(F.max_by("word", F.struct("n", "word")).alias("w"))
         table: list = [None] * SLOTS
-        for batch in few.select("slot", "w", self.fold(F.col("w")).alias("ids")).toArrow().to_batches():
-            for slot, w, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                table[slot] = {"w": w, "ids": ids}
-        return literal(table, "array<struct<w:string,ids:array<int>>>")
+        for batch in few.select(slot_of(F.col("word")), "word", self.fold(F.col("word"))).toArrow().to_batches():
+            for slot, word, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                table[slot] = (table[slot] or {}) | {word: ids}
+        return literal(table, "array<map<string,array<int>>>")
 
     def encode(self, text: Column, mapped: Column | None = None) -> Column:
         """Ids of a text; an empty list for null or empty."""
-        words = self.words(text)
         if mapped is None:
-            ids = F.transform(words, self.fold)
+            ids = F.transform(self.words(text), self.fold)
         else:
-            held = lambda w: F.get(mapped, slot_of(w))
-            ids = F.transform(words, lambda w: F.when(held(w)["w"] == w, held(w)["ids"]).otherwise(self.fold(w)))
+            ids = F.transform(self.words(text), lambda w: F.coalesce(F.try_element_at(F.get(mapped, slot_of(w)), w), self.fold(w)))
         return F.coalesce(F.flatten(ids), F.array().cast("array<int>"))
 
     def decode(self, ids: Column) -> Column:
