@@ -32,7 +32,7 @@ TOKENIZERS, RANKS = "/opt/tokenizers", "byte_bpe_50k.tiktoken"
 SPACE = r"\t-\r \u0085   -     　"
 PATTERN = rf"'(?:[stmd]|re|ve|ll)| ?\p{{L}}++| ?\p{{N}}++| ?[^{SPACE}\p{{L}}\p{{N}}]++|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 #: Words in the literal map, slots of the map (a power of two), bytes up to which a word is mapped.
-MAPPED, SLOTS, MAPPED_BYTES = 1 << 16, 1 << 18, 64
+MAPPED, SLOTS, MAPPED_BYTES = 1 << 17, 1 << 18, 64
 #: Bits of an id; a list longer than LONG ids has a pair merged at all its places at once.
 ID_BITS, LONG = 17, 192
 #: Shifts of a row that are tried at once.
@@ -147,13 +147,15 @@ class Encoder:
             def with_ranks(ranks: Column) -> Column:
                 def merged(at: Column) -> Column:
                     new = F.get(ranks, at - 1).cast("int")
-                    short = F.concat(F.slice(ids, 1, at - 1), F.array(new), F.slice(ids, at + 2, F.size(ids)))
+                    # the pair's first id becomes the merged one, its second is taken out
+                    short = F.array_remove(F.transform(ids, lambda x, i: F.when(i == at - 1, new).when(i == at, -1).otherwise(x)), F.lit(-1))
                     more = F.when(F.size(ids) <= LONG, short).otherwise(self._everywhere(ids, at - 1, new))
                     return F.when(F.get(ranks, at - 1) < (1 << ID_BITS), state(more, False)).otherwise(state(ids, True))
 
                 return let(F.array_position(ranks, F.array_min(ranks)).cast("int"), merged)
 
-            return F.when(before["done"], before).otherwise(let(F.zip_with(ids, F.slice(ids, 2, F.size(ids)), self._rank), with_ranks))
+            ranks = F.transform(ids, lambda x, i: self._rank(x, F.get(ids, i + 1)))  # null for the last
+            return F.when(before["done"], before).otherwise(let(ranks, with_ranks))
 
         done = F.aggregate(steps, state(self.of_bytes(word), False), step, lambda s: s["ids"])
         return F.when(F.length(word) == 0, F.array().cast("array<int>")).otherwise(done)
