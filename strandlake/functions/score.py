@@ -78,7 +78,7 @@ def mapq(single: Column, template: Column, proper: Column, pessimistic: bool = F
     """
     pair = F.least(single, template) if pessimistic else F.greatest(single, template)
     score = F.when(proper, F.when(template.isNotNull(), pair)).otherwise(single)
-    return F.coalesce(F.least(F.lit(MAPQ_CAP), score), F.lit(unknown))
+    return F.when(score.isNull(), F.lit(unknown)).otherwise(F.least(F.lit(MAPQ_CAP), score))
 
 
 #: Bits of a BAM record's flag.

@@ -17,7 +17,7 @@ def mark_duplicates(fragments: DataFrame, place: list[str], rank: Column, order:
     """Fragments with ``duplicate``: all but the best of those at one place in one library.
 
     ``place`` holds own anchor, mate anchor and mate strand. The best has the highest rank, then comes
-    first by ``order``. With ``owner`` (the cluster) both ends of the best cluster stay. The first of
+    first by ``order``, which identifies a fragment: rows with equal ``order`` are one. With ``owner`` (the cluster) both ends of the best cluster stay. The first of
     each place is found by an aggregate with map-side combine, so a hot place is no window partition.
     """
     keys = [*place, *(library or [])]

@@ -109,7 +109,7 @@ def replicate(side: DataFrame, key: str, plan: ShardPlan) -> DataFrame:
 
 #: Fixed values of the BAM index format: first bin of each level and bits of position in a bin.
 BIN_LEVELS = ((0, 29), (1, 26), (9, 23), (73, 20), (585, 17), (4681, 14))
-SPECIAL_BIN = 37450
+PAST_BINS, SPECIAL_BIN = 37449, 37450
 NOT_A_COUNT = 4294967295
 
 
@@ -119,7 +119,7 @@ def bin_geometry(spark) -> DataFrame:
     level, first, bits = F.lit(0), F.lit(0), F.lit(29)
     for i, (start, shift) in enumerate(BIN_LEVELS):
         level, first, bits = (F.when(b >= start, F.lit(x)).otherwise(y) for x, y in ((i, level), (start, first), (shift, bits)))
-    special = b == SPECIAL_BIN
+    special = b >= PAST_BINS
     return spark.range(SPECIAL_BIN + 1).select(
         b.alias("bin_num"),
         F.when(~special, level).alias("bin_level"),

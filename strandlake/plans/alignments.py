@@ -45,7 +45,7 @@ FRAGMENTS = """f AS (SELECT l_orderkey AS cluster, l_linenumber AS part, l_suppk
   l_returnflag AS library, l_linestatus AS lane, CAST(round(l_discount * 100) AS INT) AS edits, CAST(floor(l_extendedprice % 61) AS INT) AS score FROM lineitem)"""
 
 _ENDS = f"""{FRAGMENTS},
-e AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY part) AS k FROM f),
+e AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY part, lane, contig, pos, len, reverse) AS k FROM f),
 p AS (SELECT a.cluster, a.lane, a.contig % 5 AS contig, a.pos AS pos1, a.len AS len1, a.reverse AS rev1, b.pos AS pos2, b.len AS len2, b.reverse AS rev2 FROM e a JOIN e b ON a.cluster = b.cluster AND a.k = 1 AND b.k = 2),
 q AS (SELECT *, greatest(pos1 + len1, pos2 + len2) - least(pos1, pos2) AS template_length, CAST(CASE WHEN pos1 > pos2 THEN 4 ELSE 0 END + CASE WHEN rev1 THEN 2 ELSE 0 END + CASE WHEN rev2 THEN 1 ELSE 0 END AS INT) AS model FROM p)"""
 
@@ -62,7 +62,8 @@ def end_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _LOW, _HIGH = template.QUANTILES["min_length"], template.QUANTILES["max_length"]
 _TLS = f"""{_ENDS},
-m AS (SELECT lane, model, count(*) AS n, row_number() OVER (PARTITION BY lane ORDER BY count(*) DESC, model) AS k FROM q WHERE template_length <= 50000 GROUP BY ALL),
+m0 AS (SELECT lane, model, count(*) AS n FROM q WHERE template_length <= 50000 GROUP BY ALL),
+m AS (SELECT lane, model, row_number() OVER (PARTITION BY lane ORDER BY n DESC, model) AS k FROM m0),
 s AS (SELECT lane, template_length AS t, row_number() OVER (PARTITION BY lane ORDER BY template_length) - 1 AS i, count(*) OVER (PARTITION BY lane) AS n
   FROM q WHERE template_length <= 50000 AND EXISTS (FROM m WHERE m.lane = q.lane AND m.model = q.model AND k <= 2)),
 tls AS (SELECT lane, max(n) AS templates, max(CASE WHEN i = floor(n * {_LOW!r}) THEN t END) AS min_length, max(CASE WHEN i = floor(n * 0.5) THEN t END) AS median_length, max(CASE WHEN i = floor(n * {_HIGH!r}) THEN t END) AS max_length,
@@ -163,7 +164,9 @@ def f10_bad_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.groupBy(sc.very_bad(c("len"), c("edits"), c("len"), -c("edits") * 2.0).alias("very_bad"), sc.uniquely_aligned(c("score")).alias("uniquely_aligned")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_MARKED = f"""WITH {FRAGMENTS}, d AS (SELECT *, row_number() OVER (PARTITION BY contig % 3, pos // 20, reverse, library ORDER BY len DESC, len - edits DESC, score DESC, cluster, part) > 1 AS duplicate FROM f)"""
+_MARKED = f"""WITH {FRAGMENTS}, 
+b AS (SELECT *, first_value(struct_pack(c := cluster, p := part)) OVER (PARTITION BY contig % 3, pos // 20, reverse, library ORDER BY len DESC, len - edits DESC, score DESC, cluster, part) AS best FROM f),
+d AS (SELECT *, best.c <> cluster OR best.p <> part AS duplicate FROM b)"""
 
 
 def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:

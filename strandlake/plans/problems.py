@@ -168,6 +168,6 @@ s AS (
          max(n) AS top_clusters, max(CASE WHEN k = 1 AND n IS NOT NULL THEN entry_id END) AS top_entry_id
   FROM r GROUP BY 1),
 l(bin_level, first_bin, past_bin, bits) AS (
-  VALUES (0, 0, 1, 29), (1, 1, 9, 26), (2, 9, 73, 23), (3, 73, 585, 20), (4, 585, 4681, 17), (5, 4681, 37450, 14))
+  VALUES (0, 0, 1, 29), (1, 1, 9, 26), (2, 9, 73, 23), (3, 73, 585, 20), (4, 585, 4681, 17), (5, 4681, 37449, 14))
 SELECT s.*, l.bin_level, CAST((s.bin_num - l.first_bin) AS BIGINT) << l.bits AS first_base
 FROM s LEFT JOIN l ON s.bin_num >= l.first_bin AND s.bin_num < l.past_bin"""
