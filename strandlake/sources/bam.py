@@ -148,7 +148,7 @@ def serialize(row: dict, ref: int, mate: int) -> tuple[bytes, int]:
     seq, qual, name = row["seq"] or "", row["qual"], row["qname"].encode() + b"\0"
     codes = [BASES.find(b) if b in BASES else 15 for b in seq.upper()] + [0]
     packed = bytes(codes[i] << 4 | codes[i + 1] for i in range(0, len(seq), 2))
-    quality = bytes(q & 0xFF for q in qual) if qual is not None and len(qual) == len(seq) else b"\xff" * len(seq)
+    quality = bytes(int(q) & 0xFF for q in qual) if qual is not None and len(qual) == len(seq) else b"\xff" * len(seq)
     pos = row["pos"] - 1
     fixed = struct.pack("<iiBBHHHiiii", ref, pos, len(name), row["mapq"], bin_of(pos, pos + max(covered, 1)) if pos >= 0 else 4680, len(ops), row["flag"], len(seq), mate, row["pnext"] - 1, row["tlen"])
     body = fixed + name + b"".join(struct.pack("<I", n << 4 | OPS.index(op)) for n, op in ops) + packed + quality

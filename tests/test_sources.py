@@ -1,5 +1,6 @@
 """Formats: what is written or laid down as bytes comes back as rows."""
 
+import datetime as dt
 import gzip
 import os
 import random
@@ -189,20 +190,20 @@ def run_stream(spark, tmp_path, frames, schema, build, name):
     for rows in frames:
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
     q = build(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder))
-    q.processAllAvailable()
-    q.stop()
+    assert q.awaitTermination(60)
 
 
 def test_pairs_of_a_stream(spark, tmp_path):
-    frames = [[("a", 1, "A1"), ("b", 2, "B2"), (None, 1, "x")], [("a", 2, "A2"), ("b", 2, "again")], [("b", 1, "B1"), ("c", 1, "C1")]]
-    build = lambda s: pairing.pair_ends(s, "name", "end", "seq").writeStream.format("memory").queryName("pairs").outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").start()
-    run_stream(spark, tmp_path, frames, "name string, end int, seq string", build, "ends")
-    assert sorted(tuple(r) for r in spark.table("pairs").where("paired").collect()) == [("a", "A1", "A2", True), ("b", "B1", "B2", True)]
+    at = lambda minute: dt.datetime(2025, 1, 1) + dt.timedelta(minutes=minute)
+    frames = [[("a", 1, "A1", at(0)), ("b", 2, "B2", at(0)), (None, 1, "x", at(0)), ("c", 1, "C1", at(0))], [("a", 2, "A2", at(1)), ("b", 2, "again", at(1))], [("b", 1, "B1", at(2))], [("d", 1, "D1", at(90))]]
+    build = lambda s: pairing.pair_ends(s, "name", "end", "seq", event_time="at").writeStream.format("memory").queryName("pairs").outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    run_stream(spark, tmp_path, frames, "name string, end int, seq string, at timestamp", build, "ends")
+    assert sorted(map(tuple, spark.table("pairs").collect())) == [("a", "A1", "A2", True), ("b", "B1", "B2", True), ("c", "C1", None, False)]
 
 
 def test_model_settles(spark, tmp_path):
     rows = [("x", 200 + i % 21, 1) for i in range(2100)]
     model = pairing.SettlingModel(["b"], "length", "model")
-    build = lambda s: s.writeStream.foreachBatch(model).option("checkpointLocation", f"{tmp_path}/cp2").start()
+    build = lambda s: s.writeStream.foreachBatch(model).option("checkpointLocation", f"{tmp_path}/cp2").trigger(availableNow=True).start()
     run_stream(spark, tmp_path, [rows, rows, [("x", 9000, 1)] * 5000], "b string, length long, model int", build, "lengths")
     assert model.stable and model.value.iloc[0]["median_length"] == 210
