@@ -23,12 +23,29 @@ def seed_join(seeds: DataFrame, index: DataFrame, cap: int = SEED_CAP) -> DataFr
     return joined.select(*seeds.columns, kind.alias("match_kind"), F.explode_outer("hits").alias("hit"))
 
 
-def two_pass(seeds: DataFrame, index: DataFrame, read: list[str], order: str, first: int = 1, cap: int = SEED_CAP) -> DataFrame:
-    """Matches of the first seeds; further seeds only of reads that those left without a hit."""
-    one = seed_join(seeds.where(F.col(order) < first), index, cap)
+def seed_search(seeds: DataFrame, kmers: DataFrame, place: list[str], cap: int = SEED_CAP) -> DataFrame:
+    """As ``seed_join``, against the k-mers of contigs (``kmer`` and the columns of ``place``) without an index.
+
+    Only k-mers that some seed has are kept; they are counted, and the places of those below the cap
+    joined row by row, so no list of places is built and a repeat never meets its places.
+    """
+    near = kmers.join(seeds.select("kmer").distinct(), "kmer", "left_semi")
+    counts = near.groupBy("kmer").agg(F.count(F.lit(1)).alias("__n"))
+    hits = near.join(counts.where(F.col("__n") < cap), "kmer").select("kmer", F.struct(*place).alias("hit"))
+    kind = F.when(F.col("__n").isNull(), "none").when(F.col("__n") >= cap, "too_many").otherwise("hit")
+    found = seeds.join(counts, "kmer", "left").select(*seeds.columns, kind.alias("match_kind"))
+    return found.join(hits, "kmer", "left").select(*seeds.columns, "match_kind", "hit")
+
+
+def two_pass(seeds: DataFrame, search, read: list[str], order: str, first: int = 1) -> DataFrame:
+    """Matches of the first seeds; further seeds only of reads that those left without a hit.
+
+    ``search`` gives the matches of some seeds, by ``seed_join`` or ``seed_search``.
+    """
+    one = search(seeds.where(F.col(order) < first))
     resolved = one.where("match_kind = 'hit'").select(*read).distinct()
     rest = seeds.where(F.col(order) >= first).join(resolved, read, "left_anti")
-    return one.withColumn("pass", F.lit(1)).unionByName(seed_join(rest, index, cap).withColumn("pass", F.lit(2)))
+    return one.withColumn("pass", F.lit(1)).unionByName(search(rest).withColumn("pass", F.lit(2)))
 
 
 def interval_join(left: DataFrame, right: DataFrame, keys: list[str], left_ends: tuple[str, str], right_ends: tuple[str, str], bucket: int) -> DataFrame:

@@ -191,6 +191,11 @@ def _seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(*READ, "p.seed", F.substring("seq", F.col("p.at"), F.lit(K)).alias("kmer")).where(~F.col("kmer").rlike("[^ACGT]"))
 
 
+def _search(spark: SparkSession, sf_dir: str):
+    kmers = index.contig_kmers(_contigs(spark, sf_dir), READ, "seq", K)
+    return lambda seeds: joins.seed_search(seeds, kmers, [*READ, "pos"])
+
+
 _SEEDS = """
 s AS (SELECT * FROM (SELECT DISTINCT tile_id, cluster_id, read_no, seq, unnest([0, 1]) AS seed FROM cluster_read WHERE length(seq) >= 16)),
 sk AS (SELECT tile_id, cluster_id, read_no, seed, CASE WHEN seed = 0 THEN substr(seq, 1, 16) ELSE substr(seq, length(seq) - 15, 16) END AS kmer FROM s),
@@ -204,7 +209,7 @@ SELECT sd.tile_id, sd.cluster_id, sd.read_no, sd.seed, sd.kmer, CASE WHEN fw.hit
 FROM sd LEFT JOIN fw USING (kmer) LEFT JOIN k ON k.kmer = sd.kmer AND fw.hits < 10""")
 def j01_seed_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All places of each seed in the index, with a mark for repeats."""
-    found = joins.seed_join(_seeds(spark, sf_dir), _index(spark, sf_dir))
+    found = _search(spark, sf_dir)(_seeds(spark, sf_dir))
     return found.select(*READ, "seed", "kmer", "match_kind", *(F.col(f"hit.{c}").alias(n) for c, n in (("tile_id", "hit_tile"), ("cluster_id", "hit_cluster"), ("read_no", "hit_read"), ("pos", "hit_pos"))))
 
 
@@ -216,7 +221,7 @@ UNION ALL
 SELECT 2, CASE WHEN hits IS NULL THEN 'none' WHEN hits < 10 THEN 'hit' ELSE 'too_many' END, count(*) FROM one ANTI JOIN done USING (tile_id, cluster_id, read_no) WHERE seed = 1 GROUP BY ALL""")
 def j02_two_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seeds by pass and kind of match; the second pass has only reads without a hit in the first."""
-    found = joins.two_pass(_seeds(spark, sf_dir), _index(spark, sf_dir), READ, "seed")
+    found = joins.two_pass(_seeds(spark, sf_dir), _search(spark, sf_dir), READ, "seed")
     return found.groupBy("pass", "match_kind").agg(F.count_distinct(*READ, "seed").alias("seeds"))
 
 
@@ -225,7 +230,7 @@ SELECT k.tile_id, CAST(floor((k.cluster_id * 100 + k.pos) / 2048) AS BIGINT) AS
 FROM sd JOIN fw USING (kmer) JOIN k ON k.kmer = sd.kmer WHERE fw.hits < 10 GROUP BY ALL""")
 def a02_match_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matches of all seeds in stretches of a tile, whose clusters are laid end to end."""
-    hits = joins.seed_join(_seeds(spark, sf_dir), _index(spark, sf_dir)).where("match_kind = 'hit'")
+    hits = _search(spark, sf_dir)(_seeds(spark, sf_dir)).where("match_kind = 'hit'")
     return build.match_distribution(hits.select("hit.tile_id", (F.col("hit.cluster_id") * 100 + F.col("hit.pos")).alias("pos")), "tile_id", "pos")
 
 

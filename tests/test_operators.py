@@ -138,7 +138,10 @@ def test_seed_join_kinds_and_two_passes(spark):
     seeds = spark.createDataFrame([(1, 0, "AA"), (2, 0, "CC"), (3, 0, "GG"), (4, 0, "TT"), (1, 1, "AA"), (4, 1, "AA")], "read int, seed int, kmer string")
     kinds = sorted((r["read"], r["seed"], r["match_kind"], r["hit"]["pos"] if r["hit"] else None) for r in joins.seed_join(seeds.where("seed = 0"), idx).collect())
     assert kinds == [(1, 0, "hit", 5), (1, 0, "hit", 9), (2, 0, "too_many", None), (3, 0, "too_many", None), (4, 0, "none", None)]
-    second = {(r["read"], r["match_kind"]) for r in joins.two_pass(seeds, idx, ["read"], "seed").where("pass = 2").collect()}
+    kmers = idx.where("hits IS NOT NULL").select("kmer", F.explode("hits").alias("h")).select("kmer", "h.*")
+    again = sorted((r["read"], r["seed"], r["match_kind"], r["hit"]["pos"] if r["hit"] else None) for r in joins.seed_search(seeds.where("seed = 0"), kmers, ["c", "pos"]).collect())
+    assert again == [(1, 0, "hit", 5), (1, 0, "hit", 9), (2, 0, "too_many", None), (3, 0, "none", None), (4, 0, "none", None)]
+    second = {(r["read"], r["match_kind"]) for r in joins.two_pass(seeds, lambda s: joins.seed_join(s, idx), ["read"], "seed").where("pass = 2").collect()}
     assert second == {(4, "hit")}
 
 
