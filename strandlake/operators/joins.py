@@ -48,6 +48,20 @@ def two_pass(seeds: DataFrame, search, read: list[str], order: str, first: int =
     return one.withColumn("pass", F.lit(1)).unionByName(search(rest).withColumn("pass", F.lit(2)))
 
 
+def neighbour_join(seeds: DataFrame, kmers: DataFrame, k: int) -> DataFrame:
+    """Seeds with every k-mer that has the same first half and exactly one mismatch in the second.
+
+    The variants of a seed (three for each letter of its second half) are joined by equality, so no
+    bucket of equal halves is compared pair by pair and none needs a cap. Repeated k-mers count once.
+    """
+    half = k // 2
+    places = F.sequence(F.lit(half + 1), F.lit(k))
+    letters = F.array(*(F.lit(x) for x in "ACGT"))
+    every = F.flatten(F.transform(places, lambda i: F.transform(letters, lambda x: F.overlay("kmer", x, i, F.lit(1)))))
+    near = seeds.select("*", F.explode(F.array_except(every, F.array("kmer"))).alias("neighbour"))
+    return near.join(kmers.select(F.col("kmer").alias("neighbour")).distinct(), "neighbour")
+
+
 def interval_join(left: DataFrame, right: DataFrame, keys: list[str], left_ends: tuple[str, str], right_ends: tuple[str, str], bucket: int) -> DataFrame:
     """Rows of both sides whose half-open intervals overlap, as an equi-join on buckets of positions.
 

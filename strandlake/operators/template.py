@@ -42,6 +42,19 @@ def template_length_stats(pairs: DataFrame, by: list[str], length: str, model: s
     )
 
 
+def given_stats(text: str) -> dict:
+    """A model given as ``min:median:max:low:high:best:second``, models by name ('FR+') or number."""
+    parts = text.split(":")
+    if len(parts) != 7:
+        raise ValueError("a template model has seven parts")
+    names = [m[:2] + ("+" if m[2] == "p" else "-") for m in sc.MODELS]
+    number = lambda m: names.index(m) if m in names else int(m)
+    values = [*map(int, parts[:5]), number(parts[5]), number(parts[6])]
+    if not values[0] <= values[1] <= values[2] or not all(0 <= m < 8 for m in values[5:]):
+        raise ValueError("the lengths of a template model must rise, its models be known")
+    return dict(zip(("min_length", "median_length", "max_length", "low_deviation", "high_deviation", "best_model", "second_model"), values, strict=True))
+
+
 def mate_reverse(best: Column, second: Column, read: int, reverse: Column) -> Column:
     """Expected strand of the other end, by the first of the two models in which this end has its strand."""
     own = lambda m: F.shiftright(m, (read + 1) % 2).bitwiseAND(F.lit(1)) == 1

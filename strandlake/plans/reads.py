@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import score as sc
 from strandlake.functions import sequence as sq
-from strandlake.operators import build, demux, fragments, index, joins, stats
+from strandlake.operators import build, demux, fragments, index, joins, seeds, stats
 from strandlake.operators.heavy import clean_barcode
 from strandlake.tables import table
 
@@ -400,3 +400,32 @@ def g03_ungapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = (F.substring(F.col(f"r{i}.seq"), 1, 32) for i in (1, 2))
     score = fragments.ungapped_score(a, b, F.slice("r1.qual", 1, 32))
     return rows.where((F.length("r1.seq") >= 32) & (F.length("r2.seq") >= 32)).select("tile_id", "cluster_id", score["mismatch_count"].alias("mismatch_count"))
+
+
+_LAYOUT = """
+t AS (SELECT *, length(seq) AS n FROM (SELECT DISTINCT tile_id, cluster_id, read_no, seq FROM cluster_read)),
+o AS (SELECT * FROM (
+  SELECT tile_id, cluster_id, read_no, seq, 0 AS seed, 0 AS offs FROM t WHERE n >= 16
+  UNION ALL SELECT tile_id, cluster_id, read_no, seq, 1, n - 16 FROM t WHERE n > 16
+  UNION ALL SELECT tile_id, cluster_id, read_no, seq, 2 + i, 16 * (i + 1) FROM (SELECT *, unnest(range(0, greatest(0, (n - 32) // 16))) AS i FROM t WHERE n > 16)
+  UNION ALL SELECT tile_id, cluster_id, read_no, seq, 2 + greatest(0, (n - 32) // 16) + i, 8 + 16 * i FROM (SELECT *, unnest(range(0, least(greatest(0, 2 - greatest(0, (n - 32) // 16)), greatest(0, (n - 16 - 8 - 16 - 8) // 16 + 1)))) AS i FROM t WHERE n >= 48)))"""
+
+
+@query(f"""WITH {_LAYOUT}, f AS (SELECT tile_id, cluster_id, read_no, seed, substr(seq, offs + 1, 16) AS kmer FROM o WHERE NOT regexp_matches(substr(seq, offs + 1, 16), '[^ACGT]'))
+SELECT tile_id, cluster_id, read_no, CAST(seed AS INT) AS seed, FALSE AS reverse, kmer FROM f UNION ALL SELECT tile_id, cluster_id, read_no, CAST(seed AS INT), TRUE, reverse(translate(kmer, 'ACGT', 'TGCA')) FROM f""")
+def g24_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The seeds of every read, laid out by its length, on both strands."""
+    lengths = [r[0] for r in table(spark, sf_dir, "cluster_read").select(F.length("seq")).distinct().where("`length(seq)` IS NOT NULL").collect()]
+    return seeds.make_seeds(_contigs(spark, sf_dir), READ, "seq", seeds.auto_layout(F.length("seq"), K, lengths), K)
+
+
+@query("""
+WITH b AS (SELECT DISTINCT replace(replace(upper(trim(barcode)), '+', ''), '-', '') AS kmer FROM cluster_read WHERE regexp_full_match(replace(replace(upper(trim(barcode)), '+', ''), '-', ''), '[ACGT]{16}')),
+s AS (SELECT DISTINCT replace(upper(barcode_seq), '-', '') AS kmer FROM barcode WHERE length(replace(barcode_seq, '-', '')) = 16)
+SELECT s.kmer, b.kmer AS neighbour FROM s JOIN b ON left(s.kmer, 8) = left(b.kmer, 8) AND hamming(s.kmer, b.kmer) = 1""")
+def j03_neighbour_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Barcodes of the sheet with the observed ones that differ in one base of the second half."""
+    plain = lambda c: F.replace(clean_barcode(F.col(c)), F.lit("-"), F.lit(""))
+    seen = table(spark, sf_dir, "cluster_read").select(plain("barcode").alias("kmer")).where(F.col("kmer").rlike("^[ACGT]{16}$"))
+    sheet = table(spark, sf_dir, "barcode").select(plain("barcode_seq").alias("kmer")).where(F.length("kmer") == K).distinct()
+    return joins.neighbour_join(sheet, seen, K).select("kmer", "neighbour")

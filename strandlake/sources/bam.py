@@ -220,6 +220,24 @@ def write_bam(records: DataFrame, path: str, contigs: list[tuple[str, int, str |
     shutil.rmtree(folder)
 
 
+def write_samples(records: DataFrame, folder: str, contigs: list[tuple[str, int, str | None]], command: str = "") -> list[str]:
+    """One BAM file for each project and sample: ``folder/<project>/<sample>/sorted.bam``; their paths.
+
+    The samples of a run are few (they are named in its sheet); each file is a job of its own. Null
+    names read 'default' and 'unknown'.
+    """
+    names = records.select(F.coalesce("project", F.lit("default")).alias("project"), F.coalesce("sample", F.lit("unknown")).alias("sample"))
+    named = records.withColumns({"project": F.coalesce("project", F.lit("default")), "sample": F.coalesce("sample", F.lit("unknown"))})
+    out = []
+    for r in names.distinct().orderBy("project", "sample").collect():
+        path = os.path.join(folder, r["project"], r["sample"], "sorted.bam")
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        part = named.where((F.col("project") == r["project"]) & (F.col("sample") == r["sample"])).drop("project", "sample")
+        write_bam(part, path, contigs, [{"ID": "0", "SM": r["sample"]}], command)
+        out.append(path)
+    return out
+
+
 class PartIndex:
     """Chunks of each bin, first record of each window, and counts of mapped and unmapped records."""
 

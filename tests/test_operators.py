@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import score as sc
 from strandlake.functions import sequence as sq
-from strandlake.operators import build, demux, fragments, index, joins, stats, template
+from strandlake.operators import build, demux, fragments, index, joins, seeds, stats, template
 from strandlake.plans.masks import parse_bases_mask
 
 
@@ -264,3 +264,21 @@ def test_rollup_keeps_null_names_apart(spark):
 def test_deviation_needs_three_tiles(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 1.0), ("b", 2.0), ("b", 3.0), ("b", None)], "l string, v double")
     assert {r["l"]: (r["tiles"], r["mean_value"], r["deviation"]) for r in stats.across_tiles(df, ["l"], "v").collect()} == {"a": (2, 2.0, None), "b": (3, 2.0, 0.8165)}
+
+
+def test_seed_layouts():
+    at = lambda d, lengths, k=32: [(s.read, s.offset) for s in seeds.seed_layout(d, lengths, k)]
+    assert at("auto", [100]) == [(0, 0), (0, 68), (0, 32), (0, 16)]
+    assert at("auto", [32]) == [(0, 0)] and at("auto", [150]) == [(0, o) for o in (0, 118, 32, 64, 16, 48)][:4] + []
+    assert at("0:32:64,auto", [100, 40]) == [(0, 0), (0, 32), (0, 64), (1, 0), (1, 8)]
+    assert at("all", [34]) == [(0, 0), (0, 1), (0, 2)]
+    for wrong, lengths in (("auto", [20]), ("x", [50]), ("90", [100]), ("0,0", [50])):
+        with pytest.raises(ValueError):
+            seeds.seed_layout(wrong, lengths, 32)
+
+
+def test_given_template_model():
+    assert template.given_stats("100:200:300:17:18:FR+:6")["second_model"] == 6 and template.given_stats("100:200:300:17:18:FR+:RF-")["best_model"] == 1
+    for wrong in ("1:2:3", "3:2:1:0:0:1:2", "1:2:3:0:0:9:2"):
+        with pytest.raises(ValueError):
+            template.given_stats(wrong)

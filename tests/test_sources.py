@@ -118,6 +118,14 @@ def test_bam_round_trip_and_index(spark, tmp_path):
     assert starts and all(v >> 16 in place and (v & 0xFFFF) <= len(place[v >> 16]) for v in starts)
 
 
+def test_one_file_for_each_sample(spark, tmp_path):
+    rows = [("a", 0, "c", 1, 9, "2M", None, 0, 0, "AC", [1, 2], "p", "s1"), ("b", 0, "c", 2, 9, "1M", None, 0, 0, "A", [5], None, None)]
+    df = spark.createDataFrame(rows, bam.SCHEMA + ", project string, sample string")
+    paths = bam.write_samples(df, str(tmp_path), [("c", 100, None)])
+    assert [os.path.relpath(p, tmp_path) for p in paths] == ["default/unknown/sorted.bam", "p/s1/sorted.bam"]
+    assert [[r["qname"] for r in spark.read.format("bam").load(p).collect()] for p in paths] == [["b"], ["a"]]
+
+
 def test_reads_of_records(spark):
     df = spark.createDataFrame([("a", 16, "c", 1, 9, "4M", None, 0, 0, "ACGR", [1, 2, 3, 4]), ("a", 128 | 512, "c", 1, 9, "1M", None, 0, 0, "A", [5])], bam.SCHEMA)
     got = [tuple(r) for r in bam.sequencing_reads(df).orderBy("read_no").collect()]
