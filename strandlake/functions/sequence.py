@@ -175,3 +175,15 @@ def fill_template(template: str, flowcell: Column, lane: Column, barcode: Column
 
 def read_name(flowcell: Column, lane: Column, tile: Column, cluster: Column) -> Column:
     return F.concat_ws(":", flowcell, lane, tile, cluster, F.lit("0"))
+
+
+def compact_cigar(ops: Column) -> Column:
+    """Operations without empty ones, neighbours of one kind put together."""
+    empty = F.array().cast("array<struct<len:int,op:string>>")
+
+    def add(out: Column, x: Column) -> Column:
+        last = F.get(out, F.size(out) - 1)
+        joined = F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(F.struct((last["len"] + x["len"]).alias("len"), x["op"].alias("op"))))
+        return F.when(x["len"] <= 0, out).when(F.size(out) == 0, F.array(x)).when(last["op"] == x["op"], joined).otherwise(F.concat(out, F.array(x)))
+
+    return F.aggregate(ops, empty, add)

@@ -106,3 +106,24 @@ def sam_columns(fragments: DataFrame) -> DataFrame:
         sc.mapq(c("single_score"), c("template_score"), F.coalesce("proper", F.lit(False))).alias("mapq"), F.coalesce("cigar", F.lit("*")).alias("cigar"),
         mate.alias("rnext"), F.coalesce(c("mate_pos") + 1, F.lit(0)).alias("pnext"), F.coalesce("tlen", F.lit(0)).alias("tlen"), c("seq"), quality.alias("qual"),
     )
+
+
+def above_mapq(fragments: DataFrame, least: int) -> DataFrame:
+    """Fragments whose score reaches a threshold: that of the template in a proper pair, else their own.
+
+    Both ends of a proper pair are so kept or dropped together. A missing score counts as too low.
+    """
+    score = F.when(F.coalesce(F.col("proper"), F.lit(False)), F.col("template_score")).otherwise(F.col("single_score"))
+    return fragments.where(F.coalesce(score >= least, F.lit(False)))
+
+
+def chosen_bins(bins: DataFrame, name: str, choice: str) -> DataFrame:
+    """Bins by 'all', 'skip-empty' (those with matches) or a regular expression of their name."""
+    if choice == "all":
+        return bins
+    return bins.where(F.col("matches") > 0) if choice == "skip-empty" else bins.where(F.col(name).rlike(choice))
+
+
+def chosen_clusters(reads: DataFrame, ids: list[int], cluster: str = "cluster_id") -> DataFrame:
+    """Reads of the listed clusters; an empty list means all."""
+    return reads.where(F.col(cluster).isin(ids)) if ids else reads

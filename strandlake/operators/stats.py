@@ -61,3 +61,15 @@ def across_tiles(values: DataFrame, by: list[str], value: str, digits: int = 4)
     """Mean over tiles and population deviation, which is null for fewer than ENOUGH_TILES tiles."""
     n = F.count(value)
     return values.groupBy(*by).agg(n.alias("tiles"), F.round(F.avg(value), digits).alias("mean_value"), F.round(F.when(n >= ENOUGH_TILES, F.stddev_pop(value)), digits).alias("deviation"))
+
+
+def match_tally(matches: DataFrame, by: list[str]) -> DataFrame:
+    """Matches of each tile, pass and barcode, by kind."""
+    kinds = ("too_many", "hit", "none")
+    return matches.groupBy(*by).agg(*(F.count_if(F.col("match_kind") == k).alias(k) for k in kinds))
+
+
+def as_xml(rows: DataFrame, keys: list[str], tag: str) -> DataFrame:
+    """(keys, xml): each row of a table of statistics as an element."""
+    body = F.to_xml(F.struct(*(c for c in rows.columns)), {"rowTag": tag})
+    return rows.select(*keys, body.alias("xml"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions import score as sc
+from strandlake.operators.fragments import best_candidate
+from strandlake.operators.joins import pair_join
 
 #: Longest template of the model; median and maximum without data.
 LONGEST = 50000
@@ -80,3 +82,41 @@ def best_pair(pairs: DataFrame, cluster: list[str], cost: str, log_probability:
     at = summed.where(F.col(cost) == F.col("__c")).withColumn("__lp", F.max(log_probability).over(w))
     tied = at.where(F.col(log_probability) >= F.col("__lp") - sc.EPSILON).withColumn("ties", F.count(F.lit(1)).over(w))
     return tied.withColumn("__k", F.row_number().over(w.orderBy(*order))).where("__k = 1").drop("__k", "__c", "__lp")
+
+
+#: Columns of a candidate end besides the cluster.
+END = ["contig", "pos", "len", "reverse", "cost", "lp"]
+
+
+def build_templates(first: DataFrame, second: DataFrame, models: DataFrame, group: str, rest: Column) -> DataFrame:
+    """One template for each cluster: its best pair, or the best of each end where no pair fits the model.
+
+    ``first`` and ``second``: candidates of the ends (cluster, ``group`` and END); ``models``: one row for
+    each group, as from ``template_length_stats``. A pair lies on one contig under one of the two
+    models, no longer than LONGEST. ``kind`` is 'proper' (of nominal length), 'pair', 'apart' (both
+    ends, no pair) or 'single'. The score of a pair is that of its probability against all other pairs'
+    and the rest of the genome; other kinds have none. A repeated best pair has score 0 to 3 by its ties.
+    """
+    side = lambda df, i: df.select("cluster", group, "contig", *(F.col(c).alias(f"{c}{i}") for c in END if c != "contig"))
+    both = pair_join(side(first, 1), side(second, 2).drop(group), ["cluster", "contig"], LONGEST)
+    both = both.withColumn("model", sc.model(F.col("reverse1"), F.col("reverse2"), F.col("pos1") > F.col("pos2"))).join(models, group)
+    kind = sc.check_model(F.col("template_length"), F.col("model"), F.col("min_length"), F.col("max_length"), F.col("best_model"), F.col("second_model"))
+    pairs = both.withColumn("fit", kind).where("fit <> 'nomatch'").withColumn("cost", F.col("cost1") + F.col("cost2")).withColumn("lp", F.col("lp1") + F.col("lp2"))
+    # one pair of places counts once, however many seeds led to it
+    pairs = pairs.dropDuplicates(["cluster", "contig", "pos1", "reverse1", "pos2", "reverse2"])
+    best = best_pair(pairs, ["cluster"], "cost", "lp", ["contig", "pos1", "pos2", "reverse1", "reverse2"])
+    others = F.greatest(F.col("total") - F.exp("lp"), F.lit(0.0)) + rest
+    paired = best.select(
+        "cluster", group, F.when(F.col("fit") == "nominal", "proper").otherwise("pair").alias("kind"), F.col("contig").alias("contig1"), F.col("contig").alias("contig2"),
+        "pos1", "pos2", "reverse1", "reverse2", "template_length", "ties", sc.phred(others, F.exp("lp")).alias("score"),
+    )
+    ends = []
+    for i, df in ((1, first), (2, second)):
+        left = df.join(paired.select("cluster"), "cluster", "left_anti")
+        one = best_candidate(left, ["cluster"], "cost", "lp", ["contig", "pos", "reverse"])
+        ends.append(one.select("cluster", F.col(group).alias(f"g{i}"), *(F.col(c).alias(f"{c}{i}") for c in ("contig", "pos", "reverse")), F.col("ties").alias(f"t{i}")))
+    rest_of = ends[0].join(ends[1], "cluster", "full").select(
+        "cluster", F.coalesce("g1", "g2").alias(group), F.when(F.col("t1").isNotNull() & F.col("t2").isNotNull(), "apart").otherwise("single").alias("kind"),
+        "contig1", "contig2", "pos1", "pos2", "reverse1", "reverse2", F.lit(None).cast("long").alias("template_length"), F.greatest("t1", "t2").alias("ties"), F.lit(None).cast("int").alias("score"),
+    )
+    return paired.withColumn("template_length", F.col("template_length").cast("long")).unionByName(rest_of)

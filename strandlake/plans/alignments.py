@@ -306,3 +306,37 @@ def m05_seed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = f.select("cluster", "part", sc.seed_id(c("tile"), c("len"), c("cluster"), c("part"), c("reverse")).alias("seed_id"))
     parts = sc.seed_parts(c("seed_id"))
     return rows.select("cluster", "part", "seed_id", parts["tile"].alias("tile"), parts["barcode"].cast("int").alias("barcode"))
+
+
+@query(f"""WITH {_TLS},
+c AS (SELECT cluster, lane, contig % 5 AS contig, pos, len, reverse, edits AS cost, -len / 10.0 AS lp, part FROM f),
+a AS (SELECT * FROM c WHERE part % 2 = 1), b AS (SELECT * FROM c WHERE part % 2 = 0),
+cd AS (SELECT a.cluster, a.lane, a.contig, a.pos AS pos1, b.pos AS pos2, a.reverse AS r1, b.reverse AS r2, greatest(a.pos + a.len, b.pos + b.len) - least(a.pos, b.pos) AS t,
+  CASE WHEN a.pos > b.pos THEN 4 ELSE 0 END + CASE WHEN a.reverse THEN 2 ELSE 0 END + CASE WHEN b.reverse THEN 1 ELSE 0 END AS model FROM a JOIN b ON a.cluster = b.cluster AND a.contig = b.contig),
+fit AS (SELECT DISTINCT cd.cluster FROM cd JOIN mm ON cd.lane = mm.lane WHERE t <= 50000 AND (model = best_model OR model = second_model))
+SELECT cluster, CASE WHEN cluster IN (FROM fit) THEN 'paired' WHEN cluster IN (SELECT cluster FROM a) AND cluster IN (SELECT cluster FROM b) THEN 'apart' ELSE 'single' END AS kind FROM (SELECT DISTINCT cluster FROM c)""")
+def g15_template_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the ends of each cluster make a pair under the model of its lane."""
+    return g17_templates(spark, sf_dir).select("cluster", F.when(F.col("kind").isin("proper", "pair"), "paired").otherwise(F.col("kind")).alias("kind"))
+
+
+@query()
+def g17_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The template of each cluster: odd line items are candidates of the first end, even ones of the second."""
+    f = fragment_rows(spark, sf_dir)
+    c = f.select("cluster", "lane", "part", (F.col("contig") % 5).alias("contig"), "pos", "len", "reverse", F.col("edits").alias("cost"), (-F.col("len") / 10.0).alias("lp"))
+    models = template.template_length_stats(end_pairs(spark, sf_dir), ["lane"], "template_length", "model")
+    return template.build_templates(c.where("part % 2 = 1"), c.where("part % 2 = 0"), models, "lane", F.lit(2e-5))
+
+
+@query(f"""WITH {FRAGMENTS} SELECT cluster, part FROM f WHERE CASE WHEN edits = 0 THEN len ELSE score END >= 30""")
+def f05_above_mapq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fragments above a score, proper pairs by that of their template."""
+    f = fragment_rows(spark, sf_dir).select("cluster", "part", (F.col("edits") == 0).alias("proper"), F.col("len").alias("template_score"), F.col("score").alias("single_score"))
+    return build.above_mapq(f, 30).select("cluster", "part")
+
+
+@query()
+def k10_stats_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Duplicate statistics of each library and lane as XML."""
+    return stats.as_xml(a09_duplicate_stats(spark, sf_dir), ["library", "lane"], "BuildStats")

@@ -429,3 +429,11 @@ def j03_neighbour_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = table(spark, sf_dir, "cluster_read").select(plain("barcode").alias("kmer")).where(F.col("kmer").rlike("^[ACGT]{16}$"))
     sheet = table(spark, sf_dir, "barcode").select(plain("barcode_seq").alias("kmer")).where(F.length("kmer") == K).distinct()
     return joins.neighbour_join(sheet, seen, K).select("kmer", "neighbour")
+
+
+@query(f"""WITH {_KMERS}, {_SEEDS}
+SELECT tile_id, seed, count(*) FILTER (WHERE hits >= 10) AS too_many, count(*) FILTER (WHERE hits < 10) AS hit, count(*) FILTER (WHERE hits IS NULL) AS none FROM sd LEFT JOIN fw USING (kmer) GROUP BY ALL""")
+def a15_match_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seeds of each tile by the kind of their match."""
+    found = _search(spark, sf_dir)(_seeds(spark, sf_dir)).select(*READ, "seed", "match_kind").distinct()
+    return stats.match_tally(found, ["tile_id", "seed"])

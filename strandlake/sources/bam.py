@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import glob
+import hashlib
 import os
 import re
 import struct
@@ -156,7 +157,7 @@ def serialize(row: dict, ref: int, mate: int) -> tuple[bytes, int]:
 
 
 def write_bam(records: DataFrame, path: str, contigs: list[tuple[str, int, str | None]], groups: list[dict] | None = None, command: str = "", level: int = 1) -> None:
-    """One sorted BAM file at ``path`` and its index at ``path``.bai.
+    """One sorted BAM file at ``path``, its index at ``path``.bai and its checksum at ``path``.md5.
 
     Records (the columns of SCHEMA) are sorted by range, each task writes its members to a part file
     beside ``path`` (a folder that all tasks share) and returns the index of its part. The driver puts
@@ -217,6 +218,8 @@ def write_bam(records: DataFrame, path: str, contigs: list[tuple[str, int, str |
         f.write(bgzf.END)
     with open(path + ".bai", "wb") as f:
         f.write(whole.bai(len(contigs)))
+    with open(path, "rb") as f, open(path + ".md5", "w") as out:
+        out.write(f"{hashlib.file_digest(f, 'md5').hexdigest()}  {os.path.basename(path)}\n")
     shutil.rmtree(folder)
 
 

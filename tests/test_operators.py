@@ -282,3 +282,33 @@ def test_given_template_model():
     for wrong in ("1:2:3", "3:2:1:0:0:1:2", "1:2:3:0:0:9:2"):
         with pytest.raises(ValueError):
             template.given_stats(wrong)
+
+
+def test_compact_cigar(spark):
+    ops = sq.compact_cigar(sq.cigar_ops(F.lit("3M0I4M2D1D5M0S")))
+    assert one(spark, t=sq.cigar_text(ops), e=F.size(sq.compact_cigar(sq.cigar_ops(F.lit(""))))) == Row(t="7M3D5M", e=0)
+
+
+def test_templates(spark):
+    ends = "cluster int, lane string, contig int, pos int, len int, reverse boolean, cost int, lp double"
+    first = spark.createDataFrame([(1, "a", 0, 100, 50, False, 0, -1.0), (1, "a", 0, 100, 50, False, 0, -1.0), (2, "a", 0, 100, 50, False, 0, -1.0), (3, "a", 1, 5, 50, False, 0, -1.0), (5, "a", 0, 100, 50, False, 0, -1.0), (5, "a", 0, 900, 50, False, 0, -1.0)], ends)
+    second = spark.createDataFrame([(1, "a", 0, 300, 50, True, 0, -1.0), (2, "a", 0, 300, 50, False, 0, -1.0), (4, "a", 0, 7, 50, True, 0, -1.0), (5, "a", 0, 300, 50, True, 0, -1.0), (5, "a", 0, 1100, 50, True, 0, -1.0)], ends)
+    models = spark.createDataFrame([("a", 200, 260, 300, 1, 6)], "lane string, min_length int, median_length int, max_length int, best_model int, second_model int")
+    got = {r["cluster"]: (r["kind"], r["ties"], r["score"]) for r in template.build_templates(first, second, models, "lane", F.lit(1e-6)).collect()}
+    assert got[1][:2] == ("proper", 1) and got[1][2] > 40
+    assert {c: got[c][0] for c in (2, 3, 4)} == {2: "apart", 3: "single", 4: "single"}
+    assert got[5][1] == 3 and got[5][2] <= 3
+
+
+def test_stages_resume_and_rewind(spark, tmp_path):
+    from strandlake.plans.stages import Stages
+
+    built = []
+    make = lambda name, n: lambda: built.append(name) or spark.range(n)
+    s = Stages(spark, f"file://{tmp_path}/w", ["match", "select"])
+    assert s.table("match", make("match", 3)).count() == 3 and s.table("select", make("select", 2)).count() == 2
+    assert Stages(spark, f"file://{tmp_path}/w", ["match", "select"]).table("match", make("again", 9)).count() == 3
+    s.rewind("select")
+    assert s.done("match") and not s.done("select") and built == ["match", "select"]
+    with pytest.raises(ValueError):
+        s.table("other", make("x", 1))
