@@ -53,18 +53,22 @@ def build_index(contigs: DataFrame, keys: list[str], seq: str, k: int, repeat_ca
 def mark_neighbours(kmers: DataFrame, k: int, distance: int, parts: int) -> DataFrame:
     """(kmer): those of the distinct k-mers that have another one within ``distance`` mismatches.
 
-    With ``parts`` parts and at most ``distance`` mismatches, some ``parts - distance`` parts are equal;
-    every choice of them is an equi-join key. A key shared by many k-mers is settled by deletion
-    variants where one mismatch is left, so no pair within a group is listed for distance 1.
+    Up to two mismatches: two k-mers are that close if they are equal once letters at the same one or two
+    places are taken out, so counting these forms is enough and no pair is listed. Beyond: with
+    ``parts`` parts some ``parts - distance`` of them are equal, and every choice of them is the key of a
+    join whose pairs are compared; its size grows with the square of the k-mers that share so many parts.
     """
     edges = [round(i * k / parts) for i in range(parts + 1)]
     distinct = kmers.select("kmer").where(F.length("kmer") == k).distinct()
-    if distance == 1:
-        # equal after the removal of one letter at the same place
-        holes = F.explode(F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: F.concat_ws("|", i.cast("string"), F.concat(F.substring("kmer", F.lit(1), i - 1), F.lit("."), F.substring("kmer", i + 1, F.lit(k))))))
-        pairs = distinct.select("kmer", holes.alias("hole"))
-        shared = pairs.groupBy("hole").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        return pairs.join(shared, "hole").select("kmer").distinct()
+    if distance <= 2:
+        hole = lambda text, i: F.overlay(text, F.lit("."), i, F.lit(1))
+        if distance == 1:
+            forms = F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: hole("kmer", i))
+        else:
+            forms = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(k - 1)), lambda i: F.transform(F.sequence(i + 1, F.lit(k)), lambda j: hole(hole("kmer", i), j))))
+        each = distinct.select("kmer", F.explode(forms).alias("form"))
+        shared = each.groupBy("form").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        return each.join(shared, "form").select("kmer").distinct()
     keys = []
     for c in combinations(range(parts), parts - distance):
         keys.append(F.concat_ws("|", F.lit(",".join(map(str, c))), *(F.substring("kmer", edges[p] + 1, edges[p + 1] - edges[p]) for p in c)))

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandlake.sources import bgzf
+
 #: Clusters of one stretch; fixed values of the compressed positions: blocks of 25, of a 2048 wide image.
 STRETCH, BLOCK, IMAGE = 4096, 25, 2048
 
@@ -48,6 +50,56 @@ def read_cycles(spark: SparkSession, path: str) -> DataFrame:
     return files.select(at(2).alias("lane"), at(3).alias("tile_no"), at(1).alias("cycle"), "stretch", "calls")
 
 
+def read_lane_cycles(spark: SparkSession, path: str) -> DataFrame:
+    """As ``read_cycles``, from cycle files of whole lanes: ``L00<lane>/<cycle>.bcl.bgzf``.
+
+    ``<cycle>.bcl.bgzf.bci`` has the virtual place of each tile, ``s_<lane>.bci`` the tiles in the same
+    order with their clusters. Each tile of a cycle is read by itself, from its place on, so a lane's
+    file is no unit of work. The files must be on storage that all executors share.
+    """
+    binary_files = binary(spark, path, "*.bci").select("path", "content")
+    lane = F.regexp_extract("path", r"/L0*(\d+)/", 1).cast("int").alias("lane")
+
+    def tiles(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for name, raw in zip(frame["path"], frame["content"], strict=True):
+                pairs = np.frombuffer(raw, "<u4").reshape(-1, 2).astype(np.int64)
+                yield pd.DataFrame({"path": name, "i": np.arange(len(pairs)), "tile_no": pairs[:, 0], "n": pairs[:, 1]})
+
+    def places(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for name, raw in zip(frame["path"], frame["content"], strict=True):
+                version, count = struct.unpack("<II", raw[:8])
+                if version:
+                    raise ValueError(f"{name} has version {version}, not 0")
+                yield pd.DataFrame({"path": name, "i": np.arange(count), "place": np.frombuffer(raw, "<i8", count, 8)})
+
+    def calls(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples():
+                data, skip = bytearray(), row.place & 0xFFFF
+                with open(row.file.removeprefix("file:"), "rb") as f:
+                    f.seek(row.place >> 16)
+                    for _, content in bgzf.blocks(f):
+                        data += content
+                        if len(data) >= skip + row.n:
+                            break
+                if len(data) < skip + row.n:
+                    raise ValueError(f"{row.file} has fewer calls than clusters")
+                starts = range(0, row.n, STRETCH)
+                yield pd.DataFrame({
+                    "lane": row.lane, "tile_no": row.tile_no, "cycle": row.cycle, "stretch": [s // STRETCH for s in starts],
+                    "calls": [bytes(data[skip + s : skip + min(row.n, s + STRETCH)]) for s in starts],
+                })
+
+    of_lane = binary_files.where(F.col("path").rlike(r"/s_\d+\.bci$")).mapInPandas(tiles, "path string, i int, tile_no int, n long").select(lane, "i", "tile_no", "n")
+    of_cycle = binary_files.where(F.col("path").rlike(r"\.bcl\.bgzf\.bci$")).mapInPandas(places, "path string, i int, place long")
+    cycle = F.regexp_extract("path", r"/(\d+)\.bcl\.bgzf\.bci$", 1).cast("int").alias("cycle")
+    of_cycle = of_cycle.select(lane, cycle, "i", "place", F.regexp_replace("path", r"\.bci$", "").alias("file"))
+    work = of_cycle.join(of_lane, ["lane", "i"]).repartition("file", "i")
+    return work.mapInPandas(calls, "lane int, tile_no int, cycle int, stretch int, calls binary")
+
+
 def clusters(cycles: DataFrame, wanted: list[int]) -> DataFrame:
     """(lane, tile_no, cluster, seq, qual) of the wanted cycles in order; an absent file counts as all N."""
     groups = cycles.where(F.col("cycle").isin(wanted)).groupBy("lane", "tile_no", "stretch").agg(F.collect_list(F.struct("cycle", "calls")).alias("c"))

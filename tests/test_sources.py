@@ -151,6 +151,27 @@ def test_base_call_folder(spark, tmp_path):
     assert (r["x_pos"], r["y_pos"]) == (1060, 1070)
 
 
+def test_lane_cycle_files(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    tiles, cycles = [(1101, 5000), (1102, 70000)], 2
+    calls = {(t, c): rng.integers(0, 256, n, dtype=np.uint8) for t, n in tiles for c in range(cycles)}
+    put(f"{tmp_path}/L002/s_2.bci", b"".join(struct.pack("<II", t, n) for t, n in tiles))
+    for c in range(cycles):
+        name = f"{tmp_path}/L002/{c + 1:04d}.bcl.bgzf"
+        with open(name, "wb") as f:
+            w, places = bgzf.Writer(f), []
+            for t, _ in tiles:
+                places.append(w.tell())
+                w.write(calls[t, c].tobytes())
+            w.flush()
+        put(f"{name}.bci", struct.pack("<II", 0, len(tiles)) + struct.pack(f"<{len(tiles)}Q", *places))
+    got = {}
+    for r in bcl.read_lane_cycles(spark, str(tmp_path)).orderBy("stretch").collect():
+        assert r["lane"] == 2
+        got.setdefault((r["tile_no"], r["cycle"] - 1), bytearray()).extend(r["calls"])
+    assert {k: bytes(v) for k, v in got.items()} == {k: v.tobytes() for k, v in calls.items()}
+
+
 def test_filter_versions_positions_and_bits():
     f = np.array([1, 0, 1, 3], np.uint8)
     wide = f.astype("<u2").tobytes()
