@@ -178,11 +178,14 @@ class Encoder:
         MAPPED_BYTES bytes, whatever the corpus. A place holds a small map, mostly of one word.
         """
         few = counts.where(F.octet_length("word") <= MAPPED_BYTES).orderBy(F.desc("n"), "word").limit(limit)
-        table: list = [None] * SLOTS
-        for batch in few.select(slot_of(F.col("word")), "word", self.fold(F.col("word"))).toArrow().to_batches():
-            for slot, word, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                table[slot] = (table[slot] or {}) | {word: ids}
-        return literal(table, "array<map<string,array<int>>>")
+        # folded after the shuffle by slot, so by all tasks; the driver only puts texts together
+        by_slot = few.groupBy(slot_of(F.col("word")).alias("slot")).agg(F.collect_list("word").alias("words"))
+        entry = F.to_json(F.map_from_entries(F.transform("words", lambda w: F.struct(w, self.fold(w)))))
+        table = ["null"] * SLOTS
+        for batch in by_slot.select("slot", entry).toArrow().to_batches():
+            for slot, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                table[slot] = text
+        return F.from_json(F.lit(f"[{','.join(table)}]"), "array<map<string,array<int>>>")
 
     def encode(self, text: Column, mapped: Column | None = None) -> Column:
         """Ids of a text; an empty list for null or empty."""
