@@ -52,10 +52,11 @@ def sheets(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Headers (FILE, header_line, separator, names) and cells (FILE, line_no, names, values) of all files.
 
     A re-delivered line counts once. Marks and line ends are dropped, as are comments, blank lines and
-    repeats of the header. A file without a header line is in neither.
+    repeats of the header. A file without a header line is in neither, nor is a line without its
+    station, file or line number.
     """
     text = F.regexp_replace("line_text", "[﻿\r\n]", "")
-    once = lines.where(F.col("line_no").isNotNull()).groupBy(*FILE, "line_no").agg(F.min_by("line_text", F.struct("delivered_at", "line_text")).alias("line_text"))
+    once = lines.dropna(subset=[*FILE, "line_no"]).groupBy(*FILE, "line_no").agg(F.min_by("line_text", F.struct("delivered_at", "line_text")).alias("line_text"))
     once = once.select(*FILE, "line_no", text.alias("text")).where(F.trim("text") != "")
     mark = F.lower(F.regexp_replace("text", r'[\s",;]', "")) == "[data]"
     content = once.where(~F.ltrim("text").startswith("#"))

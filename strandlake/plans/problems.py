@@ -51,6 +51,32 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(*keys[:4], _pf_class("read_way").alias("pf_class"), *keys[5:]).dropna().distinct()
 
 
+def _each(source: str, at: str, path: str, name: str) -> str:
+    """SQL of one level: the elements of a list, or one object, below a column of JSON."""
+    j = f"json_extract({at}, '{path}')"
+    return f"SELECT * EXCLUDE ({at}), unnest(CASE json_type({j}) WHEN 'ARRAY' THEN CAST({j} AS JSON[]) WHEN 'OBJECT' THEN [{j}] ELSE [] END) AS {name} FROM {source}"
+
+
+def _number(at: str) -> str:
+    return f"""TRY_CAST(coalesce({at}->>'$.number', {at}->>'$."@number"') AS INT)"""
+
+
+SQL["p1_found"] = f"""
+WITH t AS (SELECT record_id, regexp_replace(payload, '^[\ufeff\\s]+', '') AS p FROM stats_record),
+u AS (SELECT record_id, CASE WHEN p LIKE '"%' AND json_valid(p) THEN regexp_replace(json_extract_string(CASE WHEN json_valid(p) THEN p END, '$'), '^[\ufeff\\s]+', '') ELSE p END AS p FROM t),
+v AS (SELECT record_id, CAST(p AS JSON) AS j FROM u WHERE json_valid(p) AND p LIKE '{{%'),
+f AS ({_each('v', 'j', '$.Stats.Flowcell', 'f')}),
+l0 AS (SELECT *, coalesce(f->>'$."flowcell-id"', f->>'$."@flowcell-id"') AS flowcell FROM f), l AS ({_each('l0', 'f', '$.Lane', 'l')}),
+i0 AS (SELECT *, {_number('l')} AS lane FROM l), i AS ({_each('i0', 'l', '$.Tile', 'i')}),
+c AS (SELECT * EXCLUDE (i), {_number('i')} AS tile_no, unnest(['Pf', 'Raw']) AS pf_class, unnest([json_extract(i, '$.Pf'), json_extract(i, '$.Raw')]) AS c FROM i),
+r AS ({_each('c', 'c', '$.Read', 'r')}),
+k AS (SELECT * EXCLUDE (r), {_number('r')} AS read_no, unnest([json_extract(r, '$.AllFragments.MismatchesByCycle'), json_extract(r, '$.UniquelyAlignedFragments.MismatchesByCycle')]) AS k FROM r),
+y AS ({_each('k', 'k', '$.Cycle', 'y')}),
+z AS (SELECT * EXCLUDE (y), {_number('y')} AS cycle_no FROM y)
+SELECT DISTINCT record_id, flowcell, lane, tile_no, pf_class, read_no, cycle_no FROM z
+WHERE trim(flowcell) <> '' AND lane IS NOT NULL AND tile_no IS NOT NULL AND read_no IS NOT NULL AND cycle_no IS NOT NULL"""
+
+
 @query
 def p1_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lanes with their flowcell and record."""
