@@ -32,7 +32,7 @@ TOKENIZERS, RANKS = "/opt/tokenizers", "byte_bpe_50k.tiktoken"
 SPACE = r"\t-\r \u0085   -     　"
 PATTERN = rf"'(?:[stmd]|re|ve|ll)| ?\p{{L}}++| ?\p{{N}}++| ?[^{SPACE}\p{{L}}\p{{N}}]++|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 #: Words in the literal map, slots of the map (a power of two), bytes up to which a word is mapped.
-MAPPED, SLOTS, MAPPED_BYTES = 1 << 17, 1 << 18, 64
+MAPPED, SLOTS, MAPPED_BYTES = 3 << 15, 1 << 18, 64
 #: Bits of an id; a list longer than LONG ids has a pair merged at all its places at once.
 ID_BITS, LONG = 17, 192
 #: Shifts of a row that are tried at once.
