@@ -20,7 +20,7 @@ SIDE, REACH = 7, 24
 #: Equal readings in a row that count as frozen; longest excursion that is still a jump.
 FROZEN, EXCURSION = 6, 3
 #: Fences reach this many interquartile ranges beyond the quartiles; smallest range assumed.
-FENCE, LEAST_RANGE = 4.5, 0.02
+FENCE, LEAST_RANGE = 5.0, 0.02
 #: Positions of one context; readings from which a context has fences of its own.
 BAND, ENOUGH = 64, 30
 HALO = 2 * REACH + 2 * FROZEN
