@@ -19,20 +19,37 @@ from pyspark.sql import functions as F
 from strandlake.llm.bpe import RANKS, TOKENIZERS
 from strandlake.llm.tokens import Tokenizer
 
-#: Tokens of a block on either side of a line end; classes into which words are hashed.
-BLOCK, CLASSES = 96, 64
+#: Tokens of a block on either side of a line end.
+BLOCK = 96
 
 
 def similarity(ids: np.ndarray, content: np.ndarray, gaps: np.ndarray, block: int = BLOCK) -> np.ndarray:
-    """Cosine of the word counts before and after each gap (a token's index); 0 if either is empty."""
-    counts = np.zeros((len(ids) + 1, CLASSES), np.int32)
-    counts[np.arange(1, len(ids) + 1), (ids * 2654435761 >> 7) % CLASSES] = content[ids]
-    np.cumsum(counts, axis=0, out=counts)
-    here = counts[gaps]
-    a = (here - counts[np.maximum(gaps - block, 0)]).astype(np.float64)
-    b = (counts[np.minimum(gaps + block, len(ids))] - here).astype(np.float64)
-    norm = np.sqrt((a * a).sum(1) * (b * b).sum(1))
-    return np.divide((a * b).sum(1), norm, out=np.zeros(len(gaps)), where=norm > 0)
+    """Cosine of the word counts before and after each gap (a token's index); 0 if either is empty.
+
+    The counts are exact: a product of counts is the number of pairs of equal words, and every pair
+    adds to a run of gaps. A word is paired with its next occurrence, the one after and so on, as long
+    as both fit into two blocks, so memory grows with the text only.
+    """
+    place = np.flatnonzero(content[ids])
+    order = place[np.argsort(ids[place], kind="stable")]
+    # steps of the squared norm of the block that ends at a place, and of the product at a gap
+    square, product = np.zeros(len(ids) + block + 2, np.int64), np.zeros(len(ids) + block + 2, np.int64)
+    at, lag = np.arange(len(order)), 0
+    while len(at):
+        i, j = order[at], order[at + lag]
+        near = j - i < block
+        np.add.at(square, j[near] + 1, 1 + (lag > 0))
+        np.add.at(square, i[near] + block + 1, -1 - (lag > 0))
+        if lag:
+            np.add.at(product, np.maximum(i, j - block) + 1, 1)
+            np.add.at(product, np.minimum(j, i + block) + 1, -1)
+        lag += 1
+        at = at[at + lag < len(order)]
+        i, j = order[at], order[at + lag]
+        at = at[(ids[i] == ids[j]) & (j - i < 2 * block)]
+    np.cumsum(square, out=square)
+    norm = np.sqrt(square[gaps].astype(np.float64) * square[gaps + block])
+    return np.divide(np.cumsum(product)[gaps], norm, out=np.zeros(len(gaps)), where=norm > 0)
 
 
 def depths(s: np.ndarray) -> np.ndarray:

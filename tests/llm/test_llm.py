@@ -3,6 +3,7 @@
 import base64
 import os
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -162,6 +163,20 @@ def test_cut_at_the_change_of_topic():
     assert pieces[0][2] == "valley" and abs(pieces[0][1] - len(t.ids(first))) <= 5
 
 
+def test_similarity_counts_words_exactly():
+    word = np.ones(50000, bool)
+    assert splitting.similarity(np.arange(192) * 7, word, np.array([96])).tolist() == [0.0]
+    rng = np.random.default_rng(11)
+    for n, words, block in [(1, 1, 4), (60, 1, 7), (300, 3, 16), (900, 40, 96), (150, 5, 96), (2000, 900, 96)]:
+        ids = rng.integers(0, words, n) * 64
+        word = rng.random(words * 64) < 0.8
+        gaps = np.arange(n + 1)
+        for g, s in zip(gaps, splitting.similarity(ids, word, gaps, block), strict=True):
+            a, b = (Counter(x for x in part.tolist() if word[x]) for part in (ids[max(g - block, 0) : g], ids[g : g + block]))
+            norm = (sum(x * x for x in a.values()) * sum(x * x for x in b.values())) ** 0.5
+            assert np.isclose(s, sum(a[x] * b[x] for x in a) / norm if norm else 0.0)
+
+
 def test_depths_of_valleys():
     assert splitting.depths(np.array([0.9, 0.5, 0.8, 0.2, 0.6])).round(2).tolist() == [0.0, 0.7, 0.0, 1.0, 0.0]
     assert splitting.depths(np.zeros(0)).tolist() == []
