@@ -5,7 +5,9 @@ hashes to a bucket held by another votes against the holder; when the votes agai
 ``EVICT`` times those for it, the holder's count falls into the counters and the newcomer takes the
 bucket. Partitions are merged bucket by bucket: counts of a value add up, the strongest ``KEEP``
 values of a bucket stay, the others fall into the summed counters. The size of every state is a
-constant, whatever the number of rows or of distinct values.
+constant, whatever the number of rows or of distinct values. A value that no bucket kept is wholly in
+its counters, so it is passed over only if one of these stays below the k-th count; all others are
+counted exactly.
 """
 
 from __future__ import annotations
@@ -90,36 +92,46 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sketch(values: DataFrame, value: str) -> DataFrame:
-    """Merged state over all partitions: rows (kind, slot, value, n); nulls don't count."""
-    parts = values.where(F.col(value).isNotNull()).select(F.col(value).alias("value"), F.xxhash64(value).alias("h")).mapInArrow(_sketch, SCHEMA)
-    return parts.groupBy("kind", "slot", "value").agg(F.sum("n").alias("n"))
-
-
-def candidates(values: DataFrame, value: str, k: int) -> DataFrame:
-    """Values that may be among the ``k`` most frequent: (value, low, high), at most BUCKETS * KEEP rows.
+    """Merged state over all partitions: rows (kind, slot, value, n, h); nulls don't count.
 
-    ``low`` is what buckets counted exactly for the value; ``high`` adds its counters, which also hold
-    other values. A value whose ``high`` stays below the k-th ``low`` can't be among the ``k``.
+    Kind 1: a value kept by a bucket, at most BUCKETS * KEEP; kind 0: a counter, at most ROWS * COUNTERS,
+    with the values that the merge dropped.
     """
-    merged = sketch(values, value)
-    held = merged.where("kind = 1").withColumn("rank", F.row_number().over(Window.partitionBy("slot").orderBy(F.desc("n"), "value")))
+    parts = values.where(F.col(value).isNotNull()).select(F.col(value).alias("value"), F.xxhash64(value).alias("h")).mapInArrow(_sketch, SCHEMA)
+    merged = parts.groupBy("kind", "slot", "value").agg(F.sum("n").alias("n"))
     h = F.xxhash64("value")
-    lost = held.where(F.col("rank") > KEEP)
-    spilled = [merged.where("kind = 0").select("slot", "n")]
-    spilled += [lost.select((light_slot_column(h, r) + r * COUNTERS).alias("slot"), "n") for r in range(ROWS)]
-    light = spilled[0]
-    for x in spilled[1:]:
-        light = light.union(x)
-    # as many rows as there are counters: a constant
-    light = F.broadcast(light.groupBy("slot").agg(F.sum("n").alias("light")))
-    out = held.where(F.col("rank") <= KEEP).select("value", F.col("n").alias("low"))
-    for r in range(ROWS):
-        c = light.select(F.col("slot").alias("__slot"), F.col("light").alias(f"light{r}"))
-        out = out.join(c, (light_slot_column(h, r) + r * COUNTERS) == F.col("__slot"), "left").drop("__slot")
-    high = F.least(*(F.coalesce(f"light{r}", F.lit(0)) for r in range(ROWS)))
-    out = out.select("value", "low", (F.col("low") + high).alias("high"))
-    kth = out.orderBy(F.desc("low"), "value").limit(k).agg(F.min("low").alias("kth"))
-    return out.join(F.broadcast(kth), F.col("high") >= F.col("kth")).drop("kth")
+    rank = F.row_number().over(Window.partitionBy("kind", "slot").orderBy(F.desc("n"), "value"))
+    row = lambda kind, slot, value: F.struct(F.lit(kind).alias("kind"), slot.alias("slot"), value.alias("value"))
+    none = F.lit(None).cast("string")
+    lost = F.array(*(row(0, light_slot_column(h, r) + r * COUNTERS, none) for r in range(ROWS)))
+    to = F.when((F.col("kind") == 1) & (F.col("rank") > KEEP), lost).otherwise(F.array(row(F.col("kind"), F.col("slot"), F.col("value"))))
+    rows = merged.withColumn("rank", rank).select(F.explode(to).alias("to"), "n").groupBy("to").agg(F.sum("n").alias("n"))
+    return rows.select("to.kind", "to.slot", "to.value", "n", F.xxhash64("to.value").alias("h"))
+
+
+def candidates(values: DataFrame, value: str, k: int) -> tuple[DataFrame, list[DataFrame]]:
+    """What may be among the ``k`` most frequent: kept values (value, low, high), and counters (s, l) of each row.
+
+    ``low`` is what buckets counted exactly for a value; ``high`` adds its counters, which also hold
+    other values. A kept value whose ``high`` stays below the k-th ``low`` can't be among the ``k``, nor a
+    value that wasn't kept if one of its counters stays below it; only the counters from there on are
+    given. The state, a constant, is put together in the driver.
+    """
+    state = sketch(values, value).toArrow()
+    kind, slot, n, h = (state[c].to_numpy() for c in ("kind", "slot", "n", "h"))
+    light = np.zeros(ROWS * COUNTERS, np.int64)
+    light[slot[kind == 0]] = n[kind == 0]
+    light = light.reshape(ROWS, COUNTERS)
+    low, h = n[kind == 1], h[kind == 1]
+    high = low + np.minimum.reduce([light[r][light_slot(h, r, COUNTERS)] for r in range(ROWS)])
+    kth = int(np.sort(low)[-k]) if len(low) >= k else 1
+    few = pa.table({"value": state["value"].filter(pa.array(kind == 1)).cast(pa.string()), "low": low, "high": high}).filter(pa.array(high >= kth))
+    spark = values.sparkSession
+    hot = [np.flatnonzero(x >= kth) for x in light]
+    return (
+        spark.createDataFrame(few, "value string, low long, high long"),
+        [spark.createDataFrame(pa.table({f"s{r}": s.astype(np.int32), f"l{r}": light[r][s]}), f"s{r} int, l{r} long") for r, s in enumerate(hot)],
+    )
 
 
 def light_slot_column(h: Column, row: int) -> Column:
@@ -129,13 +141,25 @@ def light_slot_column(h: Column, row: int) -> Column:
 def top_values(values: DataFrame, value: str, k: int = 20) -> DataFrame:
     """The ``k`` most frequent values: (value, low, high, n).
 
-    The sketch names the candidates and bounds their counts; an exact count of these few (at most
-    BUCKETS * KEEP, hence broadcast) settles the order. Ties go to the smaller value. An empty column
-    gives no rows.
+    The sketch bounds all counts; an exact count of the values whose bound reaches the k-th count settles
+    the order. These are the kept values (at most BUCKETS * KEEP) and those with all counters at the
+    k-th count or above: few where the k-th value stands out of a counter's load, and where it doesn't,
+    up to all values, which the shuffle then counts. Ties go to the smaller value. An empty column gives
+    no rows.
     """
-    few = candidates(values, value, k)
-    exact = values.select(F.col(value).alias("value")).join(F.broadcast(few), "value").groupBy("value", "low", "high").agg(F.count(F.lit(1)).alias("n"))
-    return exact.orderBy(F.desc("n"), "value").limit(k)
+    few, hot = candidates(values, value, k)
+    rows = values.select(F.col(value).alias("value")).where(F.col("value").isNotNull())
+    h = F.xxhash64("value")
+    rows = rows.select("value", *(light_slot_column(h, r).alias(f"s{r}") for r in range(ROWS)))
+    for r in range(ROWS):
+        rows = rows.join(F.broadcast(hot[r]), f"s{r}", "left")
+    rows = rows.join(F.broadcast(few), "value", "left")
+    reach = F.lit(True)
+    for r in range(ROWS):
+        reach = reach & F.col(f"l{r}").isNotNull()
+    high = F.coalesce("high", F.least(*(F.col(f"l{r}") for r in range(ROWS))))
+    rows = rows.where(F.col("low").isNotNull() | reach).select("value", F.coalesce("low", F.lit(0)).alias("low"), high.alias("high"))
+    return rows.groupBy("value", "low", "high").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "value").limit(k)
 
 
 def clean_barcode(barcode: Column) -> Column:

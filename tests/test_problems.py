@@ -210,6 +210,22 @@ def test_top_values_against_count(spark, seed):
     assert all(r["low"] <= r["n"] <= r["high"] for r in got)
 
 
+def test_top_values_that_share_a_bucket(spark):
+    named = spark.range(40000).select(F.concat(F.lit("w"), "id").alias("v")).select("v", F.xxhash64("v").bitwiseAND(F.lit(heavy.BUCKETS - 1)).alias("b")).collect()
+    same = sorted(r["v"] for r in named if r["b"] == named[0]["b"])[: heavy.KEEP + 3]
+    count = {v: 900 - 50 * i for i, v in enumerate(same)} | {f"other{i}": 200 + i for i in range(10)} | {f"rare{i}": 2 for i in range(3000)}
+    values = [v for v, n in count.items() for _ in range(n)]
+    random.Random(1).shuffle(values)
+    got = heavy.top_values(spark.createDataFrame([(v,) for v in values], "v string").repartition(6), "v", 12).collect()
+    assert [(r["value"], r["n"]) for r in got] == sorted(count.items(), key=lambda x: (-x[1], x[0]))[:12]
+    assert all(r["low"] <= r["n"] <= r["high"] for r in got)
+
+
+def test_top_values_all_rare(spark):
+    df = spark.range(30000).select(F.concat(F.lit("v"), F.format_string("%05d", "id")).alias("v"))
+    assert [(r["value"], r["n"]) for r in heavy.top_values(df, "v", 20).collect()] == [(f"v{i:05d}", 1) for i in range(20)]
+
+
 def test_top_values_of_little(spark):
     df = spark.createDataFrame([(None,), ("b",), ("a",), ("b",), ("a",)], "v string")
     assert [(r["value"], r["n"]) for r in heavy.top_values(df, "v", 20).collect()] == [("a", 2), ("b", 2)]
