@@ -300,9 +300,12 @@ def k02_sam_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {FRAGMENTS} SELECT cluster, part, (CAST(contig % 4096 AS BIGINT) << 52) | (CAST(len AS BIGINT) << 40) | (CAST(cluster AS BIGINT) << 9) | (CAST(part AS BIGINT) << 1) | CAST(reverse AS BIGINT) AS seed_id, contig % 4096 AS tile, len AS barcode FROM f WHERE contig % 4096 < 2048""")
 def m05_seed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Packed identities of seeds, and two of their parts taken out again."""
+    """Packed identities of seeds, and two of their parts taken out again.
+
+    Tiles from 2,048 on set the sign bit, so their identities are negative; the SQL leaves these out.
+    """
     c = F.col
-    f = fragment_rows(spark, sf_dir).withColumn("tile", c("contig") % 4096).where("tile < 2048")
+    f = fragment_rows(spark, sf_dir).withColumn("tile", c("contig") % 4096)
     rows = f.select("cluster", "part", sc.seed_id(c("tile"), c("len"), c("cluster"), c("part"), c("reverse")).alias("seed_id"))
     parts = sc.seed_parts(c("seed_id"))
     return rows.select("cluster", "part", "seed_id", parts["tile"].alias("tile"), parts["barcode"].cast("int").alias("barcode"))

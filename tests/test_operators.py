@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from strandlake.functions import score as sc
 from strandlake.functions import sequence as sq
 from strandlake.operators import build, demux, fragments, index, joins, seeds, stats, template
+from strandlake.plans import alignments
 from strandlake.plans.masks import parse_bases_mask
 
 
@@ -98,6 +99,14 @@ def test_scores(spark):
     assert one(spark, n=sc.seed_id(F.lit(4096), F.lit(3), F.lit(7), F.lit(5), F.lit(True))) == Row(n=None)
 
 
+def test_seed_ids_of_all_tiles(spark, tmp_path):
+    rows = [(7, 1, x, 5, 12.0, "A", "F", 0.0, 1.0) for x in (1, 2047, 2048, 4095, 4096, 8191)]
+    columns = "l_orderkey long, l_linenumber int, l_suppkey long, l_partkey long, l_quantity double, l_returnflag string, l_linestatus string, l_discount double, l_extendedprice double"
+    spark.createDataFrame(rows, columns).write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {r["tile"]: (r["seed_id"], r["barcode"]) for r in alignments.m05_seed_ids(spark, str(tmp_path)).collect()}
+    assert got == {t: ((t - (4096 if t > 2047 else 0) << 52) | 12 << 40 | 7 << 9 | 3, 12) for t in (1, 2047, 2048, 4095, 0)}
+
+
 def test_bases_mask():
     assert parse_bases_mask("y*n", [3, 2]) == ["yyn", "yn"]
     assert [len(m) for m in parse_bases_mask("y10n,Y100n,y*n100", [11, 101, 101])] == [11, 101, 101]
