@@ -61,6 +61,16 @@ def x04_pack_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(*READ, "kmer", packed.alias("packed"), sq.unpack(packed, K).alias("unpacked"), sq.permute_blocks(F.col("kmer"), [2, 0, 3, 1], 4).alias("permuted"))
 
 
+@query()
+def x04_all_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every k-mer of every read as a number and back, and with its blocks permuted."""
+    rows = table(spark, sf_dir, "cluster_read").where(F.length("seq") >= K)
+    rows = rows.select(*READ, "seq", F.explode(F.sequence(F.lit(0), F.length("seq") - K)).alias("pos"))
+    rows = rows.select(*READ, "pos", F.substring("seq", F.col("pos") + 1, F.lit(K)).alias("kmer"))
+    packed = sq.pack(F.col("kmer"))
+    return rows.select(*READ, "pos", "kmer", packed.alias("packed"), sq.unpack(packed, K).alias("unpacked"), sq.permute_blocks(F.col("kmer"), [2, 0, 3, 1], 4).alias("permuted"))
+
+
 @query("""
 WITH b AS (SELECT unnest(string_split(seq, '')) AS base, unnest(qual) AS q FROM cluster_read WHERE length(seq) = len(qual)),
 c AS (SELECT CASE WHEN base NOT IN ('A', 'C', 'G', 'T') THEN 0 ELSE (q::INT << 2) | (instr('ACGT', base) - 1)::INT END AS bcl FROM b)
@@ -402,6 +412,16 @@ def g03_ungapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where((F.length("r1.seq") >= 32) & (F.length("r2.seq") >= 32)).select("tile_id", "cluster_id", score["mismatch_count"].alias("mismatch_count"))
 
 
+@query()
+def g03_whole_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both reads of a cluster laid on each other over their common length, with all scores."""
+    rows = reads_once(spark, sf_dir).groupBy("tile_id", "cluster_id").agg(*(F.max(F.when(F.col("read_no") == i, F.struct("seq", "qual"))).alias(f"r{i}") for i in (1, 2)))
+    rows = rows.withColumn("bases", F.least(F.length("r1.seq"), F.length("r2.seq"))).where(F.col("r1.seq").isNotNull() & F.col("r2.seq").isNotNull())
+    a, b = (F.substring(F.col(f"r{i}.seq"), F.lit(1), F.col("bases")) for i in (1, 2))
+    score = fragments.ungapped_score(a, b, F.slice("r1.qual", F.lit(1), F.col("bases")))
+    return rows.select("tile_id", "cluster_id", "bases", *(F.when(F.col("bases") > 0, x).otherwise(0).alias(n) for n, x in score.items()))
+
+
 _LAYOUT = """
 t AS (SELECT *, length(seq) AS n FROM (SELECT DISTINCT tile_id, cluster_id, read_no, seq FROM cluster_read)),
 o AS (SELECT * FROM (

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strandlake.functions import score as sc
 from strandlake.functions import sequence as sq
 from strandlake.operators import build, demux, fragments, index, joins, seeds, stats, template
-from strandlake.plans import alignments
+from strandlake.plans import alignments, reads
 from strandlake.plans.masks import parse_bases_mask
 
 
@@ -107,6 +107,28 @@ def test_seed_ids_of_all_tiles(spark, tmp_path):
     assert got == {t: ((t - (4096 if t > 2047 else 0) << 52) | 12 << 40 | 7 << 9 | 3, 12) for t in (1, 2047, 2048, 4095, 0)}
 
 
+def test_scores_and_kmers_of_whole_reads(spark, tmp_path):
+    rng = random.Random(12)
+    rows = [(1, c, n, dna(rng, length), [rng.randint(2, 40) for _ in range(length)]) for c in range(12) for n, length in ((1, rng.choice([20, 31, 33, 75])), (2, rng.choice([20, 40, 75])))]
+    rows += [(1, 50, 1, "A" * 60, [30] * 60), (1, 50, 2, "A" * 40 + "C" * 10, [30] * 50), (1, 51, 1, "ACGT" * 9, [20] * 36), (1, 52, 1, None, None), (1, 52, 2, "ACGTN" * 5, [9] * 25)]
+    schema = "tile_id int, cluster_id long, read_no int, seq string, qual array<int>, pf boolean, x_pos double, y_pos double, barcode_id int, barcode string, end_masked int, loaded_at timestamp"
+    spark.createDataFrame([(*r, None, None, None, None, None, None, None) for r in rows], schema).write.parquet(str(tmp_path / "cluster_read.parquet"))
+    of = {r[1:3]: r for r in rows}
+    got = {r["cluster_id"]: r for r in reads.g03_whole_reads(spark, str(tmp_path)).collect()}
+    assert set(got) == {*range(12), 50} and (got[50]["bases"], got[50]["mismatch_count"], got[50]["matches_in_row"]) == (50, 10, 40)
+    for c, r in got.items():
+        same = [x == y for x, y in zip(of[c, 1][3], of[c, 2][3], strict=False)]
+        assert (r["bases"], r["mismatch_count"], r["matches_in_row"]) == (len(same), same.count(False), max(map(len, "".join("x" if m else " " for m in same).split()), default=0))
+        q = spark.createDataFrame([(i, m, x) for i, (m, x) in enumerate(zip(same, of[c, 1][4], strict=False))], "i int, m boolean, q int") if c in (0, 50) else None
+        assert q is None or abs(q.agg(F.sum(F.when(F.col("m"), sc.log_match(F.col("q"))).otherwise(sc.log_mismatch(F.col("q"))))).first()[0] - r["log_probability"]) < 1e-9
+    kmers = reads.x04_all_kmers(spark, str(tmp_path)).collect()
+    assert sorted((r["cluster_id"], r["read_no"], r["pos"], r["kmer"]) for r in kmers) == sorted((c, n, i, x[i : i + 16]) for _, c, n, x, _ in rows if x for i in range(len(x) - 15))
+    for r in kmers:
+        k = r["kmer"]
+        assert r["permuted"] == k[8:12] + k[:4] + k[12:] + k[4:8]
+        assert (r["unpacked"], r["packed"]) == ((None, None) if "N" in k else (k, sum("ACGT".index(b) << 2 * (15 - i) for i, b in enumerate(k))))
+
+
 def test_bases_mask():
     assert parse_bases_mask("y*n", [3, 2]) == ["yyn", "yn"]
     assert [len(m) for m in parse_bases_mask("y10n,Y100n,y*n100", [11, 101, 101])] == [11, 101, 101]
