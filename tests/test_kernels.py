@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandlake.operators import kernels as k
+from strandlake.plans import kernels as plans
 
 
 def dna(rng, n):
@@ -104,3 +105,23 @@ def test_udfs_with_nulls(spark):
     got = df.select(k.banded_sw("q", "d").alias("s"), k.rescue_mate("q", "d").alias("m"), k.align_simple_indel("q", "d", "a", "b").alias("i"), k.clip_adapters(F.col("q"), F.col("d"), ["Standard"]).alias("c")).collect()
     assert got[0]["s"]["cigar"] == "10M" and got[0]["m"]["offset"] == 0
     assert all(r["s"]["cigar"] is None and r["m"]["offset"] is None and r["i"]["cigar"] is None and r["c"]["clip_from"] == 0 for r in got[1:])
+
+
+def test_queries_keep_short_reads(spark, tmp_path):
+    rng = random.Random(21)
+    reads = {i: dna(rng, n) for i, n in enumerate([0, 2, 20, 25, 36, 37, 38, 39, 42, 43, 49, 50, 75])} | {99: None}
+    schema = "tile_id int, cluster_id long, read_no int, seq string, loaded_at timestamp"
+    spark.createDataFrame([(1, i, 1, s, None) for i, s in reads.items()], schema).write.parquet(str(tmp_path / "cluster_read.parquet"))
+    rows = lambda f: {r["cluster_id"]: r[3:] for r in f(spark, str(tmp_path)).collect()}
+    aligned, indels, mates, gaps, clips = map(rows, (plans.g08_banded_alignment, plans.g05_simple_indel, plans.j11_rescue_all, plans.g20_gap_realignment, plans.g11_adapter_clip))
+    for i, s in reads.items():
+        n = len(s or "")
+        short = lambda most, n=n: min(most, n * most // 50)
+        read = None if s is None else s[: short(20)] + s[short(20) + 3 : n - short(12)]
+        assert aligned[i] == ((None,) * 3 if s is None else k.banded_align([read], [s])[0])
+        head, twice = min(35, 2 * n - 42), (s or "") * 2
+        assert indels[i] == ((None,) * 3 if n < 37 else k.simple_indel(twice[:head] + twice[head + 10 : head + 50], twice, 0, 10)) and (n < 37 or indels[i][1] == 0)
+        assert mates[i] == ((None, None) if short(30) < 7 else (short(10), 0))
+        assert gaps[i] == ((None,) * 4 if s is None else k.realign(read, s, 0, [(short(20), 3), (short(30), -2)]))
+        assert clips[i] == ((0, 0) if n < 20 else (short(30), n))
+    assert gaps[2][0] == "8M3D5M" and gaps[12][0] == "20M3D40M"
