@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 from string import ascii_lowercase, ascii_uppercase
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions import sequence as sq
+from strandlake.tables import task_count, written
 
 #: Repeats from which a k-mer of the index is only a marker; letters of a block of a contig.
 REPEAT_CAP, BLOCK = 1000, 512
+#: K-mers of one task in which neighbours are searched.
+NEAR_ROWS = 1 << 20
 
 
 def blocks(contigs: DataFrame, keys: list[str], seq: str, k: int, size: int = BLOCK) -> DataFrame:
@@ -55,8 +61,9 @@ def mark_neighbours(kmers: DataFrame, k: int, distance: int, parts: int) -> Data
 
     Up to two mismatches: two k-mers are that close if they are equal once letters at the same one or two
     places are taken out, so counting these forms is enough and no pair is listed. Beyond: with
-    ``parts`` parts some ``parts - distance`` of them are equal, and every choice of them is the key of a
-    join whose pairs are compared; its size grows with the square of the k-mers that share so many parts.
+    ``parts`` parts some ``parts - distance`` of them are equal. Choice by choice of these, the k-mers that
+    have no neighbour yet are compared with those of equal parts, inside of a task and without a list of
+    pairs, until none is left or all choices are through. Runs at once, not when the result is read.
     """
     edges = [round(i * k / parts) for i in range(parts + 1)]
     distinct = kmers.select("kmer").where(F.length("kmer") == k).distinct()
@@ -69,13 +76,51 @@ def mark_neighbours(kmers: DataFrame, k: int, distance: int, parts: int) -> Data
         each = distinct.select("kmer", F.explode(forms).alias("form"))
         shared = each.groupBy("form").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         return each.join(shared, "form").select("kmer").distinct()
-    keys = []
+    distinct = written(distinct)
+    tasks = max(task_count(distinct.sparkSession), distinct.count() // NEAR_ROWS + 1)
+    alone = distinct
     for c in combinations(range(parts), parts - distance):
-        keys.append(F.concat_ws("|", F.lit(",".join(map(str, c))), *(F.substring("kmer", edges[p] + 1, edges[p + 1] - edges[p]) for p in c)))
-    keyed = distinct.select("kmer", F.explode(F.array(*keys)).alias("key"))
-    other = keyed.withColumnRenamed("kmer", "other")
-    near = sq.hamming(F.col("kmer"), F.col("other")) <= distance
-    return keyed.join(other, "key").where((F.col("kmer") != F.col("other")) & near).select("kmer").distinct()
+        key = F.concat(*(F.substring("kmer", edges[p] + 1, edges[p + 1] - edges[p]) for p in c))
+        keyed = distinct.withColumn("key", key)
+        if alone is not distinct:
+            keyed = keyed.join(alone.select(key.alias("key")).distinct(), "key", "left_semi")
+        equal = [i for p in c for i in range(edges[p], edges[p + 1])]
+        found = keyed.repartition(tasks, "key").select("kmer").mapInArrow(_near(k, distance, equal), "kmer string")
+        alone = written(alone.join(found, "kmer", "left_anti"))
+        if alone.isEmpty():
+            return distinct
+    return distinct.join(alone, "kmer", "left_anti")
+
+
+def _near(k: int, distance: int, equal: list[int]):
+    """Function of a task's k-mers: those with another one within ``distance`` that has the same letters at ``equal``."""
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = pa.chunked_array([b.column(0) for b in batches], pa.string()).combine_chunks()
+        n = len(texts)
+        letters = np.zeros((n, -(-k // 8) * 8), np.uint8)
+        letters[:, :k] = np.frombuffer("".join(texts.to_pylist()).encode("ascii"), np.uint8).reshape(n, k)
+        same = np.zeros_like(letters)
+        same[:, equal] = letters[:, equal]
+        words, same = letters.view(np.uint64), same.view(np.uint64)
+        order = np.lexsort(same.T)
+        words, same = words[order], same[order]
+        first = np.flatnonzero(np.r_[n > 0, (same[1:] != same[:-1]).any(1)])
+        sizes = np.diff(np.r_[first, n])
+        start, end = np.repeat(first, sizes), np.repeat(first + sizes, sizes)
+        marked, at, lag = np.zeros(n, bool), np.arange(n), 1
+        while len(at):
+            for i, j in ((x := at[at + lag < end[at]], x + lag), (x := at[at - lag >= start[at]], x - lag)):
+                d = words[i] ^ words[j]
+                for shift in (4, 2, 1):
+                    d |= d >> np.uint64(shift)
+                close = np.bitwise_count(d & np.uint64(0x0101010101010101)).sum(1) <= distance
+                marked[i[close]] = marked[j[close]] = True
+            lag += 1
+            at = at[~marked[at] & ((at + lag < end[at]) | (at - lag >= start[at]))]
+        yield pa.RecordBatch.from_arrays([texts.take(pa.array(order[marked]))], names=["kmer"])
+
+    return near
 
 
 def annotate(index: DataFrame, neighbours: DataFrame) -> DataFrame:

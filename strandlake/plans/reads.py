@@ -253,6 +253,12 @@ def j04_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.mark_neighbours(table(spark, sf_dir, "cluster_read").select(kmer.alias("kmer")), 16, 2, 4)
 
 
+@query()
+def j04_read_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K-mers of both strands of all reads with another one within four mismatches."""
+    return index.mark_neighbours(index.contig_kmers(_contigs(spark, sf_dir), READ, "seq", K, both_strands=True), K, 4, 8)
+
+
 @query("""
 WITH b AS (SELECT DISTINCT replace(replace(upper(trim(barcode)), '+', ''), '-', '') AS kmer FROM cluster_read WHERE length(replace(replace(trim(barcode), '+', ''), '-', '')) = 16),
 n AS (SELECT DISTINCT x.kmer FROM b x JOIN b y ON x.kmer <> y.kmer AND hamming(x.kmer, y.kmer) = 1)

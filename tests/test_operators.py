@@ -164,6 +164,19 @@ def test_neighbours_against_pairs(spark):
         assert got == {a for a in kmers if any(a != b and sum(x != y for x, y in zip(a, b, strict=True)) <= distance for b in kmers)}
 
 
+def test_read_neighbours_of_both_strands(spark, tmp_path):
+    rng = random.Random(14)
+    seqs = [dna(rng, rng.choice([12, 20, 30])) for _ in range(25)] + ["A" * 40, "ACGTN" * 6, None]
+    first = seqs[1] = dna(rng, 16)
+    seqs.append("".join("ACGT"[("ACGT".index(b) + 1) % 4] if i in (1, 5, 9, 13) else b for i, b in enumerate(first))[::-1].translate(str.maketrans("ACGT", "TGCA")))
+    spark.createDataFrame([(1, i, 1, s) for i, s in enumerate(seqs)], "tile_id int, cluster_id long, read_no int, seq string").write.parquet(str(tmp_path / "cluster_read.parquet"))
+    kmers = {s[i : i + 16] for s in seqs if s for i in range(len(s) - 15) if "N" not in s[i : i + 16]}
+    kmers |= {x[::-1].translate(str.maketrans("ACGT", "TGCA")) for x in kmers}
+    want = {a for a in kmers if any(a != b and sum(x != y for x, y in zip(a, b, strict=True)) <= 4 for b in kmers)}
+    got = [r[0] for r in reads.j04_read_neighbours(spark, str(tmp_path)).collect()]
+    assert first in want and len(want) < len(kmers) and len(got) == len(set(got)) and set(got) == want
+
+
 def test_seed_join_kinds_and_two_passes(spark):
     idx = spark.createDataFrame([("AA", 2, [(0, 5), (1, 9)]), ("CC", 12, [(0, i) for i in range(12)]), ("GG", 2000, None)], "kmer string, repeats long, hits array<struct<c:int,pos:int>>")
     seeds = spark.createDataFrame([(1, 0, "AA"), (2, 0, "CC"), (3, 0, "GG"), (4, 0, "TT"), (1, 1, "AA"), (4, 1, "AA")], "read int, seed int, kmer string")
