@@ -18,9 +18,9 @@ def query(f):
     return f
 
 
-#: Tables of a run report by depth, and what identifies their rows.
-REPORT = ["flowcell", "lane", "tile", "read", "mismatchesbycycle", "cycle"]
-INLINE = ["stats", "pf", "raw", "allfragments", "uniquelyalignedfragments"]
+#: Elements of a run report that the statement of the problem names as tables.
+DECLARED = ("lane", "tile", "read", "cycle")
+#: Element -> the member that identifies it, its column, whether it is a number.
 IDENTIFIERS = {
     "flowcell": ("flowcellid", "flowcell", False),
     "lane": ("number", "lane", True),
@@ -30,89 +30,137 @@ IDENTIFIERS = {
 }
 
 
-def _report(spark: SparkSession, sf_dir: str, depth: int) -> tuple[DataFrame, nested.Graph]:
-    """Rows of the report's table at a depth; elements that the data doesn't repeat are tables all the same."""
+def _report(spark: SparkSession, sf_dir: str, wanted: set | None = None, without: tuple = ()) -> tuple[DataFrame, nested.Graph]:
+    """Rows of the tables of the run reports, and their schema graph."""
     records = table(spark, sf_dir, "stats_record").where(F.col("payload").isNotNull())
-    graph = nested.Graph.of(nested.schema_edges(records, "payload"))
-    graph.repeated.update(REPORT)
-    graph.kept_inline.update(INLINE)
-    return nested.shred(records, "record_id", "payload", graph, REPORT[:depth], IDENTIFIERS), graph
+    graph = nested.Graph.of(nested.schema_edges(records, "payload"), DECLARED)
+    return nested.shred(records, "record_id", "payload", graph, IDENTIFIERS, wanted, set(without)), graph
 
 
-def _pf_class(way: str):
-    return F.when(F.element_at(F.split(way, "/"), 1) == "pf", "Pf").when(F.element_at(F.split(way, "/"), 1) == "raw", "Raw")
+def _element(*names: str):
+    """The one of some elements that a row's path leads through."""
+    return F.nullif(F.regexp_extract("path", f"/({'|'.join(names)})/", 1), F.lit(""))
+
+
+def _pf_class():
+    return F.initcap(_element("pf", "raw"))
 
 
 @query
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys of the Cycle objects in MismatchesByCycle."""
-    rows, _ = _report(spark, sf_dir, 6)
-    keys = ["record_id", "flowcell", "lane", "tile_no", "pf_class", "read_no", "cycle_no"]
-    return rows.select(*keys[:4], _pf_class("read_way").alias("pf_class"), *keys[5:]).dropna().distinct()
+    rows, _ = _report(spark, sf_dir, {"cycle"}, ("fragmentmismatchesbycycle",))
+    rows = rows.where(F.col("path").rlike("/tile/(pf|raw)/read/(.+/)?mismatchesbycycle/cycle$"))
+    return rows.select("record_id", "flowcell", "lane", "tile_no", _pf_class().alias("pf_class"), "read_no", "cycle_no").dropna().distinct()
 
 
-def _each(source: str, at: str, path: str, name: str) -> str:
-    """SQL of one level: the elements of a list, or one object, below a column of JSON."""
+def _each(source: str, at: str, path: str, name: str, key: str = "k", drop: bool = True) -> str:
+    """SQL of one level: the elements of a list, or one object, below a column of JSON, with their keys."""
     j = f"json_extract({at}, '{path}')"
-    return f"SELECT * EXCLUDE ({at}), unnest(CASE json_type({j}) WHEN 'ARRAY' THEN CAST({j} AS JSON[]) WHEN 'OBJECT' THEN [{j}] ELSE [] END) AS {name} FROM {source}"
+    way = path.removeprefix("$.").lower().replace(".", "/")
+    items = f"(CASE json_type({j}) WHEN 'ARRAY' THEN CAST({j} AS JSON[]) WHEN 'OBJECT' THEN [{j}] ELSE CAST([] AS JSON[]) END)"
+    gone = ", ".join([key, "path", *([at] if drop else [])])
+    return f"""SELECT * EXCLUDE ({gone}), {key} AS p{key}, path || '/{way}' AS path, unnest({items}) AS {name}, {key} || '/{way}[' || (unnest(range(len({items})))) || ']' AS {key} FROM {source}"""
 
 
 def _number(at: str) -> str:
     return f"""TRY_CAST(coalesce({at}->>'$.number', {at}->>'$."@number"') AS INT)"""
 
 
+def _text(at: str, name: str) -> str:
+    return f"""coalesce({at}->>'$.{name}', {at}->>'$."@{name}"')"""
+
+
+_READS = f"""
+t AS (SELECT record_id, record_id || '-' || md5(payload) AS k, regexp_replace(payload, '^[\ufeff\\s]+', '') AS p FROM stats_record),
+u AS (SELECT record_id, k, CASE WHEN p LIKE '"%' AND json_valid(p) THEN regexp_replace(json_extract_string(CASE WHEN json_valid(p) THEN p END, '$'), '^[\ufeff\\s]+', '') ELSE p END AS p FROM t),
+v AS (SELECT DISTINCT record_id, k, 'record' AS path, CAST(p AS JSON) AS j FROM u WHERE json_valid(p) AND p LIKE '{{%'),
+f AS (SELECT * EXCLUDE (pk) FROM ({_each('v', 'j', '$.Stats.Flowcell', 'f')})),
+f1 AS (SELECT *, k AS flowcell_key, nullif(trim(coalesce(f->>'$."flowcell-id"', f->>'$."@flowcell-id"')), '') AS flowcell FROM f),
+l AS ({_each('f1', 'f', '$.Lane', 'l')}),
+l1 AS (SELECT * EXCLUDE (pk), k AS lane_key, pk AS lane_parent, {_number('l')} AS lane FROM l),
+i AS ({_each('l1', 'l', '$.Tile', 'i')}),
+i1 AS (SELECT * EXCLUDE (pk), k AS tile_key, pk AS tile_parent, {_number('i')} AS tile_no FROM i),
+r AS (SELECT * EXCLUDE (i) FROM ({_each('i1', 'i', '$.Pf.Read', 'r', drop=False)}) UNION ALL SELECT * EXCLUDE (i) FROM ({_each('i1', 'i', '$.Raw.Read', 'r', drop=False)})
+  UNION ALL BY NAME {_each('f1', 'f', '$.Read', 'r')}),
+r1 AS (SELECT * EXCLUDE (pk), k AS read_key, pk AS read_parent, CASE WHEN path LIKE '%/pf/%' THEN 'Pf' WHEN path LIKE '%/raw/%' THEN 'Raw' END AS pf_class, {_number('r')} AS read_no FROM r)"""
+_CYCLES = f"""{_READS},
+m AS ({' UNION ALL '.join(_each('r1', 'r', f'$.{kind}.{by}', 'm', drop=False) for kind in ('AllFragments', 'UniquelyAlignedFragments') for by in ('MismatchesByCycle', 'FragmentMismatchesByCycle'))}),
+c AS ({_each('(SELECT * EXCLUDE (pk, r) FROM m)', 'm', '$.Cycle', 'c')}),
+c1 AS (SELECT *, {_number('c')} AS cycle_no FROM c)"""
 SQL["p1_found"] = f"""
-WITH t AS (SELECT record_id, regexp_replace(payload, '^[\ufeff\\s]+', '') AS p FROM stats_record),
-u AS (SELECT record_id, CASE WHEN p LIKE '"%' AND json_valid(p) THEN regexp_replace(json_extract_string(CASE WHEN json_valid(p) THEN p END, '$'), '^[\ufeff\\s]+', '') ELSE p END AS p FROM t),
-v AS (SELECT record_id, CAST(p AS JSON) AS j FROM u WHERE json_valid(p) AND p LIKE '{{%'),
-f AS ({_each('v', 'j', '$.Stats.Flowcell', 'f')}),
-l0 AS (SELECT *, coalesce(f->>'$."flowcell-id"', f->>'$."@flowcell-id"') AS flowcell FROM f), l AS ({_each('l0', 'f', '$.Lane', 'l')}),
-i0 AS (SELECT *, {_number('l')} AS lane FROM l), i AS ({_each('i0', 'l', '$.Tile', 'i')}),
-c AS (SELECT * EXCLUDE (i), {_number('i')} AS tile_no, unnest(['Pf', 'Raw']) AS pf_class, unnest([json_extract(i, '$.Pf'), json_extract(i, '$.Raw')]) AS c FROM i),
-r AS ({_each('c', 'c', '$.Read', 'r')}),
-k AS (SELECT * EXCLUDE (r), {_number('r')} AS read_no, unnest([json_extract(r, '$.AllFragments.MismatchesByCycle'), json_extract(r, '$.UniquelyAlignedFragments.MismatchesByCycle')]) AS k FROM r),
-y AS ({_each('k', 'k', '$.Cycle', 'y')}),
-z AS (SELECT * EXCLUDE (y), {_number('y')} AS cycle_no FROM y)
-SELECT DISTINCT record_id, flowcell, lane, tile_no, pf_class, read_no, cycle_no FROM z
-WHERE trim(flowcell) <> '' AND lane IS NOT NULL AND tile_no IS NOT NULL AND read_no IS NOT NULL AND cycle_no IS NOT NULL"""
+WITH {_CYCLES}
+SELECT DISTINCT record_id, flowcell, lane, tile_no, pf_class, read_no, cycle_no FROM c1
+WHERE path LIKE '%/mismatchesbycycle/cycle' AND flowcell IS NOT NULL AND lane IS NOT NULL AND tile_no IS NOT NULL AND pf_class IS NOT NULL AND read_no IS NOT NULL AND cycle_no IS NOT NULL"""
+
+
+@query
+def p1_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of every relation of the run reports: keys and a map of the inlined scalars."""
+    return nested.flat_all(*_report(spark, sf_dir))
+
+
+@query
+def p1_flowcells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flowcells with their record."""
+    rows, graph = _report(spark, sf_dir, {"flowcell"})
+    return nested.flat(rows, graph, "flowcell").select("record_id", "row_key", "parent_key", "flowcell")
+
+
+SQL["p1_flowcells"] = f"WITH {_READS} SELECT DISTINCT record_id, flowcell_key AS row_key, split_part(flowcell_key, '/', 1) AS parent_key, flowcell FROM f1"
 
 
 @query
 def p1_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lanes with their flowcell and record."""
-    rows, graph = _report(spark, sf_dir, 2)
-    return nested.flat(rows, graph, "lane", (("number",),)).drop("flowcell_way", "lane_way")
+    rows, graph = _report(spark, sf_dir, {"lane"})
+    return nested.flat(rows, graph, "lane").drop("path", "number", "tile_no", "read_no", "cycle_no", "lane_key", "tile_key", "read_key", "cycle_key")
+
+
+SQL["p1_lanes"] = f"WITH {_READS} SELECT DISTINCT record_id, lane_key AS row_key, lane_parent AS parent_key, flowcell, lane, flowcell_key FROM l1"
 
 
 @query
 def p1_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tiles with their lane, flowcell and record; the single Pf and Raw objects are inlined."""
-    rows, graph = _report(spark, sf_dir, 3)
-    return nested.flat(rows, graph, "tile", (("number",),)).drop("flowcell_way", "lane_way", "tile_way")
+    """Tiles with their lane, flowcell and record; what isn't repeated of Pf and Raw is inlined."""
+    rows, graph = _report(spark, sf_dir, {"tile"})
+    return nested.flat(rows, graph, "tile").drop("path", "number", "read_no", "cycle_no", "tile_key", "read_key", "cycle_key")
+
+
+SQL["p1_tiles"] = f"""WITH {_READS} SELECT DISTINCT record_id, tile_key AS row_key, tile_parent AS parent_key, flowcell, lane, tile_no, flowcell_key, lane_key,
+  i->>'$.Pf.ClusterCount' AS pf_clustercount, i->>'$.Raw.ClusterCount' AS raw_clustercount FROM i1"""
 
 
 @query
 def p1_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reads of a tile's Pf or Raw object with the keys of their parents."""
-    rows, graph = _report(spark, sf_dir, 4)
-    rows = rows.withColumn("pf_class", _pf_class("read_way")).drop("flowcell_way", "lane_way", "tile_way", "read_way")
-    return nested.flat(rows, graph, "read", (("number",), ("length",)))
+    """Reads of a tile's Pf or Raw object and of a flowcell with the keys of their parents."""
+    rows, graph = _report(spark, sf_dir, {"read"})
+    return nested.flat(rows, graph, "read").withColumn("pf_class", _pf_class()).drop("number", "cycle_no", "read_key", "cycle_key")
+
+
+SQL["p1_reads"] = f"""WITH {_READS} SELECT DISTINCT record_id, path, read_key AS row_key, read_parent AS parent_key, flowcell, lane, tile_no, read_no, flowcell_key, lane_key, tile_key,
+  r->>'$.Length' AS length, pf_class FROM r1"""
 
 
 @query
 def p1_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cycles of a read with their kind of fragments and the keys of their parents."""
-    rows, graph = _report(spark, sf_dir, 6)
-    kind = F.element_at(F.split("mismatchesbycycle_way", "/"), 1)
-    rows = rows.withColumn("pf_class", _pf_class("read_way")).withColumn("fragment_kind", kind).drop(*(f"{t}_way" for t in REPORT))
-    return nested.flat(rows, graph, "cycle", (("number",), ("one",), ("more",)))
+    """Cycles of a read with the element they stand in, their kind of fragments and the keys of their parents."""
+    rows, graph = _report(spark, sf_dir, {"cycle"})
+    cycles = nested.flat(rows, graph, "cycle").withColumn("pf_class", _pf_class())
+    kind, by = _element("allfragments", "uniquelyalignedfragments"), _element("mismatchesbycycle", "fragmentmismatchesbycycle")
+    return cycles.withColumns({"fragment_kind": kind, "list_name": by}).drop("path", "number", "cycle_key")
+
+
+SQL["p1_cycles"] = f"""WITH {_CYCLES} SELECT DISTINCT record_id, k AS row_key, pk AS parent_key, flowcell, lane, tile_no, read_no, cycle_no, flowcell_key, lane_key, tile_key, read_key,
+  {', '.join(f"{_text('c', name)} AS {name}" for name in ('blanks', 'mismatches', 'more', 'one'))}, pf_class,
+  split_part(path, '/', -3) AS fragment_kind, split_part(path, '/', -2) AS list_name FROM c1"""
 
 
 @query
 def p1_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tables that shared inlining gives for the run reports, with their parents."""
     records = table(spark, sf_dir, "stats_record").where(F.col("payload").isNotNull())
-    graph = nested.Graph.of(nested.schema_edges(records, "payload"))
+    graph = nested.Graph.of(nested.schema_edges(records, "payload"), DECLARED)
     return spark.createDataFrame(graph.relations(), "table_name string, parent_table string, way string")
 
 

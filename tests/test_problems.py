@@ -17,7 +17,7 @@ T0 = dt.datetime(2025, 1, 1)
 # --- 1: nested records -------------------------------------------------------------------------
 
 IDS = {"flowcell": ("flowcellid", "flowcell", False), "lane": ("number", "lane", True), "tile": ("number", "tile_no", True), "read": ("number", "read_no", True), "cycle": ("number", "cycle_no", True)}
-CHAIN = ["flowcell", "lane", "tile", "read", "mismatchesbycycle", "cycle"]
+TABLES = ("flowcell", "lane", "tile", "read", "cycle")
 
 
 def report(**cycle):
@@ -25,12 +25,14 @@ def report(**cycle):
     return {"Stats": {"Flowcell": {"@flowcell-id": "F1", "Lane": {"number": "2", "Tile": [{"number": 1101, "Pf": {"Read": read}, "Raw": None}]}}}}
 
 
-def cycles(spark, payloads):
+def shredded(spark, payloads, **options):
     df = spark.createDataFrame(list(enumerate(payloads)), "record_id long, payload string").withColumn("row_key", F.lit("clash"))
-    g = nested.Graph.of(nested.schema_edges(df, "payload"))
-    g.repeated.update(CHAIN)
-    g.kept_inline.update(["stats", "pf", "raw", "allfragments", "uniquelyalignedfragments"])
-    rows = nested.shred(df, "record_id", "payload", g, CHAIN, IDS)
+    g = nested.Graph.of(nested.schema_edges(df, "payload"), TABLES)
+    return nested.shred(df, "record_id", "payload", g, IDS, **options), g
+
+
+def cycles(spark, payloads):
+    rows, _ = shredded(spark, payloads, wanted={"cycle"})
     return sorted(tuple(r) for r in rows.select("record_id", "flowcell", "lane", "tile_no", "read_no", "cycle_no").collect())
 
 
@@ -50,6 +52,8 @@ def test_nested_lists_and_missing_numbers(spark):
 
 def test_nested_empty_table(spark):
     assert cycles(spark, [None]) == []
+    rows, g = shredded(spark, [None])
+    assert nested.flat_all(rows, g).collect() == []
 
 
 def test_graph_rules(spark):
@@ -59,15 +63,68 @@ def test_graph_rules(spark):
     assert {("b", "record", "a/b"), ("b", "record", "d/b"), ("f", "e", "f"), ("e", "f", "e")} <= set(g.relations())
 
 
+def random_record(rng, depth=0):
+    """Elements of any nesting: lists, single objects, recursive and shared ones, nulls, odd names."""
+    out = {}
+    for name in ("a", "B-b", "it's", "`q`", "list"):
+        x = rng.random()
+        if depth < 4 and x < 0.35:
+            out[name] = random_record(rng, depth + 1)
+        elif depth < 4 and x < 0.5:
+            out[name] = [rng.choice((None, 5, random_record(rng, depth + 1))) for _ in range(rng.randrange(4))]
+        elif x < 0.8:
+            out[name] = rng.choice((None, 1, "text", 2.5, True))
+    return out
+
+
+def paths_of(name, value, path, tables):
+    """Element paths of all rows that brute force finds below a value."""
+    for key, x in value.items():
+        child = nested.canonical(key)
+        for y in x if isinstance(x, list) else [x] if isinstance(x, dict) else []:
+            if y is not None:
+                if child in tables:
+                    yield (*path, child)
+                if isinstance(y, dict):
+                    yield from paths_of(child, y, (*path, child), tables)
+
+
+def test_every_relation_has_rows_and_every_link_holds(spark):
+    rng = random.Random(3)
+    records = [random_record(rng) for _ in range(40)]
+    rows, g = shredded(spark, [json.dumps(r) for r in records] + [json.dumps(records[0])])
+    rows = nested.flat_all(rows, g).collect()
+    keys = [r["row_key"] for r in rows]
+    assert len(keys) == len(set(keys))
+    assert all(r["parent_key"] in set(keys) for r in rows if r["table_name"] != "record")
+    expected = Counter((i, "record/" + "/".join(p)) for i, r in enumerate([*records, records[0]]) for p in paths_of("", r, (), g.tables()))
+    assert Counter((r["record_id"], r["path"]) for r in rows if r["table_name"] != "record") == expected
+    assert {r["table_name"] for r in rows} == g.tables() | {"record"}
+
+
 def test_links_and_inlined_scalars(spark):
-    df = spark.createDataFrame([(1, json.dumps(report(blanks=3))), (1, json.dumps(report(blanks=3)))], "record_id long, payload string")
-    g = nested.Graph.of(nested.schema_edges(df, "payload"))
-    g.repeated.update(CHAIN)
-    g.kept_inline.update(["stats", "pf", "raw", "allfragments"])
-    tiles = nested.flat(nested.shred(df, "record_id", "payload", g, CHAIN[:3], IDS), g, "tile").collect()
-    reads = nested.flat(nested.shred(df, "record_id", "payload", g, CHAIN[:4], IDS), g, "read").collect()
-    assert len(tiles) == len(reads) == 1  # the re-delivered record counts once
-    assert reads[0]["parent_key"] == tiles[0]["row_key"]
+    two = report(blanks=3)
+    two["Stats"]["Version"] = "2.4"
+    tile = two["Stats"]["Flowcell"]["Lane"]["Tile"][0]
+    tile["Raw"] = {"ClusterCount": 12}
+    rows, g = shredded(spark, [json.dumps(two)])
+    rows = rows.unionByName(rows)  # a record that is delivered twice
+    one = {t: nested.flat(rows, g, t).collect() for t in ("record", *TABLES)}
+    assert [len(x) for x in one.values()] == [1] * 6
+    assert one["record"][0]["stats_version"] == "2.4" and one["tile"][0]["raw_clustercount"] == "12" and one["cycle"][0]["blanks"] == "3"
+    assert one["read"][0]["parent_key"] == one["tile"][0]["row_key"] == one["cycle"][0]["tile_key"]
+    assert one["cycle"][0]["read_key"] == one["read"][0]["row_key"] and one["flowcell"][0]["parent_key"] == one["record"][0]["row_key"]
+
+
+def test_repeated_objects_that_are_single_elsewhere(spark):
+    """A Pf that is a list in one record is a table, and no object of it is lost."""
+    many = report()
+    tile = many["Stats"]["Flowcell"]["Lane"]["Tile"][0]
+    tile["Pf"] = [tile["Pf"] | {"ClusterCount": 1}, {"ClusterCount": 2, "Read": {"number": 2}}]
+    rows, g = shredded(spark, [json.dumps(report()), json.dumps(many)])
+    assert "pf" in g.tables()
+    assert sorted((r["record_id"], r["clustercount"]) for r in nested.flat(rows, g, "pf").collect()) == [(0, None), (1, "1"), (1, "2")]
+    assert sorted((r["record_id"], r["read_no"]) for r in nested.flat(rows, g, "read").collect()) == [(0, 1), (1, 1), (1, 2)]
 
 
 # --- 2: implausible readings -------------------------------------------------------------------
