@@ -322,7 +322,7 @@ def flat(rows: DataFrame, g: Graph, table: str) -> DataFrame:
 def flat_all(rows: DataFrame, g: Graph) -> DataFrame:
     """The rows of all tables in one: keys and a map ``members`` of the inlined scalars; each row once.
 
-    An element of a list of scalars has its text under the name 'value'.
+    A scalar in the place of an element with a table is a row whose text stands under the name 'value'.
     """
     cases = []
     for table in sorted(g.tables() | {ROOT}):

@@ -81,7 +81,7 @@ def paths_of(name, value, path, tables):
     """Element paths of all rows that brute force finds below a value."""
     for key, x in value.items():
         child = nested.canonical(key)
-        for y in x if isinstance(x, list) else [x] if isinstance(x, dict) else []:
+        for y in x if isinstance(x, list) else [x]:
             if y is not None:
                 if child in tables:
                     yield (*path, child)
