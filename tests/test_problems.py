@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandlake.operators import blocked, drift, heavy, nested, skew, spikes
@@ -178,8 +179,8 @@ def test_blocks_give_the_same_as_one_window(spark):
     rng = random.Random(4)
     values = [(s, p, rng.randint(0, 3)) for s in "ab" for p in rng.sample(range(500), 200)]
     df = spark.createDataFrame(values, "src string, pos int, v int")
-    rows = blocked.blocked(df, ["src"], "pos", halo=5, size=16)
-    w = blocked.block_window(["src"])
+    rows = blocked.blocked(df, ["src"], "pos", blocked.stretches(df, ["src"], "pos", 5, 16, 4), 4)
+    w = Window.partitionBy("src", blocked.BLOCK).orderBy("pos")
     got = {(r["src"], r["pos"]): r["s"] for r in rows.withColumn("s", F.sum("v").over(w.rowsBetween(-5, 5))).where(blocked.OWN).collect()}
     for s in "ab":
         line = sorted((p, v) for x, p, v in values if x == s)
