@@ -182,7 +182,13 @@ def _catalogue(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 @query
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every change of a station's sheets."""
+    """Every change of a station's sheets in the fields of the problem."""
+    return p3_changes(spark, sf_dir).where(F.col("field_name").isin(*drift.FIELDS))
+
+
+@query
+def p3_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every change of a station's sheets, of headers that name no field of the problem too."""
     return drift.changes(_catalogue(spark, sf_dir)[0])
 
 
@@ -195,7 +201,7 @@ def p3_lifespans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p3_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of all sheets in one table."""
-    return drift.common_table(_catalogue(spark, sf_dir)[1])
+    return drift.common_table(*_catalogue(spark, sf_dir))
 
 
 @query

@@ -235,6 +235,22 @@ def test_unknown_header_carries_values_on(spark):
     assert drifts(spark, files) == [(2, "sample", "renamed"), (2, "sample", "retyped")]
 
 
+def test_header_without_evidence_is_a_field_of_its_own(spark):
+    files = {1: ["SampleID,Lane", "s17,1"], 2: ["SampleID,Lane,Ship To,??", "s17,1,Oslo,x"], 3: ["SampleID,Lane,ship_to", "s17,1,17"]}
+    assert drifts(spark, files) == [(2, "shipto", "added"), (3, "shipto", "retyped")]
+    columns, body = drift.catalogue(sheet_lines(spark, files), spark.createDataFrame(ALIASES, "field_name string, header_name string"))
+    assert {r["file_no"]: r["others"] for r in drift.common_table(columns, body).collect()} == {1: {}, 2: {"shipto": "Oslo"}, 3: {"shipto": "17"}}
+
+
+def test_history_in_blocks_is_that_of_one_sequence(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [("s", at * 2, at, f, rng.choice("hk"), rng.choice((None, None, "integer", "text"))) for f in "abc" for at in range(60) if rng.random() < {"a": 0.5, "b": 0.9, "c": 1}[f]]
+    columns = spark.createDataFrame(rows, "station string, file_no int, at long, field string, key string, kind string")
+    whole = [sorted(map(tuple, f(columns).collect()), key=str) for f in (drift.changes, drift.lifespans)]
+    monkeypatch.setattr(drift, "FILES", 4)
+    assert [sorted(map(tuple, f(columns).collect()), key=str) for f in (drift.changes, drift.lifespans)] == whole
+
+
 def test_sheets_without_rows_or_content(spark):
     assert drifts(spark, {1: ["", "#x"]}) == []
     assert drifts(spark, {1: ["Lane,,Lane"], 2: ["Lane"]}) == []
@@ -242,8 +258,8 @@ def test_sheets_without_rows_or_content(spark):
 
 def test_common_table_and_casts(spark):
     lines = sheet_lines(spark, {1: ["Sample,Lane,Control,Index", "a,L003,Yes,acgt", "a,L003,Yes,acgt"], 2: ["Lane", "4"]})
-    _, cell = drift.catalogue(lines.union(lines), spark.createDataFrame(ALIASES, "field_name string, header_name string"))
-    rows = sorted((r["file_no"], r["line_no"], r["sample"], r["lane"], r["control"], r["barcode"]) for r in drift.common_table(cell).collect())
+    columns, body = drift.catalogue(lines.union(lines), spark.createDataFrame(ALIASES, "field_name string, header_name string"))
+    rows = sorted((r["file_no"], r["line_no"], r["sample"], r["lane"], r["control"], r["barcode"]) for r in drift.common_table(columns, body).collect())
     assert rows == [(1, 2, "a", 3, True, "ACGT"), (1, 3, "a", 3, True, "ACGT"), (2, 2, None, 4, None, None)]
 
 
