@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandlake.operators import kernels
+from strandlake.operators import kernels, rescue
 
 #: Functions that are plain SQL expressions, by name: parameters and body.
 SQL_FUNCTIONS = {
@@ -29,7 +29,7 @@ def register(spark: SparkSession) -> None:
     for name, (parameters, result, body) in SQL_FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {result} RETURN {body}")
     spark.udf.register("banded_sw", kernels.banded_sw)
-    spark.udf.register("rescue_mate", kernels.rescue_mate)
+    spark.udf.register("rescue_mate", rescue.rescue_mate)
 
     @F.udtf(returnType=T.StructType([T.StructField("i", T.IntegerType()), T.StructField("kmer", T.StringType())]))
     class Kmers:

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import score as sc
 from strandlake.functions import sequence as sq
+from strandlake.operators.joins import interval_join
 
-#: Bases of one entry of the match distribution.
-DISTRIBUTION_BIN = 2048
+#: Bases of one entry of the match distribution; first bases that place an unaligned fragment.
+DISTRIBUTION_BIN, SHADOW_BASES = 2048, 32
 
 
 def mark_duplicates(fragments: DataFrame, place: list[str], rank: Column, order: list[str], library: list[str] | None = None, owner: list[str] | None = None) -> DataFrame:
@@ -38,6 +39,29 @@ def _descending(rank: Column, field: str) -> Column:
     return (-rank[field]).alias(f"__{field}")
 
 
+def anchor(contig: Column, pos: Column, observed: Column, reverse: Column, seq: Column) -> Column:
+    """What places a fragment: its strand position, or of an unaligned one (null contig) its first SHADOW_BASES bases."""
+    strand = F.when(reverse, F.greatest(pos + observed, F.lit(1)) - 1).otherwise(pos)
+    return F.when(contig.isNotNull(), F.concat_ws(":", contig, strand)).otherwise(F.substring(seq, 1, SHADOW_BASES))
+
+
+def mark_pair_duplicates(fragments: DataFrame, rank: Column, library: list[str], order: list[str], cluster: str, paired: bool = True) -> DataFrame:
+    """``mark_duplicates`` of the fragments of pairs, by the anchors of both ends.
+
+    Needs contig (null: unaligned), pos, observed, reverse, seq, the same with ``mate_`` before them, and mate_bin. Forward
+    fragments compete at one position; reverse and unaligned ones at one anchor. The mate's anchor,
+    strand, bin and whether it is aligned must be equal. Both ends of the best cluster stay. Fragments of single
+    reads (``paired`` false) are no duplicates.
+    """
+    if not paired:
+        return fragments.withColumn("duplicate", F.lit(False))
+    of = lambda p: anchor(*(F.col(p + x) for x in ("contig", "pos", "observed", "reverse", "seq")))
+    forward = F.col("contig").isNotNull() & ~F.col("reverse")
+    rows = fragments.withColumns({"__forward": forward, "__anchor": of(""), "__mate": of("mate_"), "__shadow": F.col("mate_contig").isNull()})
+    place = ["__forward", "__anchor", "__mate", "__shadow", "mate_reverse", "mate_bin"]
+    return mark_duplicates(rows, place, rank, order, library, [cluster]).drop("__forward", "__anchor", "__mate", "__shadow")
+
+
 def duplicate_stats(marked: DataFrame, by: list[str]) -> DataFrame:
     return marked.groupBy(*by).agg(F.count(F.lit(1)).alias("total"), F.count_if(~F.col("duplicate")).alias("unique_fragments"))
 
@@ -91,6 +115,28 @@ def collect_gaps(fragments: DataFrame, keys: list[str], pos: str, cigar: str) ->
     return rows.select(*keys, (F.col("__p") + before).alias("gap_pos"), gap.alias("gap_len")).where("gap_len IS NOT NULL").distinct()
 
 
+def gap_scope(scope: str, sample: str, project: str) -> Column | None:
+    """Group within which fragments share their gaps: 'sample', 'project', 'all' or 'none' (no group, no realignment)."""
+    scopes = {"sample": F.col(sample), "project": F.col(project), "all": F.lit("all"), "none": None}
+    if scope not in scopes:
+        raise ValueError(f"{scope} is no scope; there are {', '.join(scopes)}")
+    return scopes[scope]
+
+
+def gap_conflicts(gaps: DataFrame, keys: list[str], bucket: int = 64) -> DataFrame:
+    """(keys, pos1, len1, pos2, len2): gaps that can't be applied together, each pair once, lower one first.
+
+    Deletions (positive lengths) conflict if they share a base, an insertion with a deletion that covers the
+    base before and the base after it or begins there, and insertions at one place. Found by an
+    interval join on buckets of positions.
+    """
+    rows = gaps.select(*keys, F.col("gap_pos").alias("p"), F.col("gap_len").alias("n")).where("n <> 0").distinct()
+    end = F.when(F.col("n") > 0, F.col("p") + F.col("n")).otherwise(F.col("p") + 1)
+    side = lambda i: rows.select(*keys, F.col("p").alias(f"pos{i}"), F.col("n").alias(f"len{i}"), end.alias(f"end{i}"))
+    both = interval_join(side(1), side(2), keys, ("pos1", "end1"), ("pos2", "end2"), bucket)
+    return both.where((F.col("pos1") < F.col("pos2")) | ((F.col("pos1") == F.col("pos2")) & (F.col("len1") < F.col("len2")))).drop("end1", "end2")
+
+
 def sam_columns(fragments: DataFrame) -> DataFrame:
     """The eleven columns of SAM from stored fragments; positions 1-based, 0 where there is none.
 

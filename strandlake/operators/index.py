@@ -128,6 +128,36 @@ def annotate(index: DataFrame, neighbours: DataFrame) -> DataFrame:
     return index.join(neighbours.select("kmer").withColumn("has_neighbours", F.lit(True)), "kmer", "left").withColumn("has_neighbours", F.coalesce("has_neighbours", F.lit(False)))
 
 
+def annotate_positions(index: DataFrame, flagged: DataFrame, place: list[str]) -> DataFrame:
+    """Index with ``has_neighbours`` where the first position of a k-mer is among those ``flagged`` (columns ``place``)."""
+    rows = index.withColumn("__first", F.get("hits", F.lit(0)))
+    flags = flagged.select(*(F.col(c).alias(f"__f_{c}") for c in place)).distinct().withColumn("has_neighbours", F.lit(True))
+    match = F.lit(True)
+    for c in place:
+        match = match & (F.col(f"__first.{c}") == F.col(f"__f_{c}"))
+    return rows.join(flags, match, "left").select(*index.columns, F.coalesce("has_neighbours", F.lit(False)).alias("has_neighbours"))
+
+
+def neighbour_positions(annotated: DataFrame) -> DataFrame:
+    """Positions of all k-mers of an index that have neighbours."""
+    return annotated.where("has_neighbours").select(F.explode("hits").alias("h")).select("h.*")
+
+
+def high_repeats(contigs: DataFrame, keys: list[str], seq: str, index: DataFrame) -> DataFrame:
+    """(keys, pos): positions at which no k-mer of the index is stored: repeats beyond its cap, other letters, ends of contigs."""
+    starts = F.sequence(F.lit(0), F.length(seq) - 1, F.lit(BLOCK))
+    each = contigs.where(F.length(seq) > 0).select(*keys, F.length(seq).alias("__n"), F.explode(starts).alias("__s"))
+    each = each.select(*keys, F.explode(F.sequence(F.col("__s").cast("long"), F.least(F.col("__s") + BLOCK, F.col("__n")).cast("long") - 1)).alias("pos"))
+    stored = index.select(F.explode("hits").alias("h")).select(*(F.col(f"h.{c}").alias(c) for c in (*keys, "pos")))
+    return each.join(stored, [*keys, "pos"], "left_anti")
+
+
+def translate_contigs(positions: DataFrame, contig: str, contigs: DataFrame, old: str, new: str) -> DataFrame:
+    """Positions with their contig in another numbering (``contigs``: old, new); null for an unknown contig."""
+    names = contigs.select(F.col(old).alias("__old"), F.col(new).alias("__new"))
+    return positions.join(names, F.col(contig) == F.col("__old"), "left").withColumn(contig, F.col("__new")).drop("__old", "__new")
+
+
 def contig_metadata(contigs: DataFrame, keys: list[str], seq: str) -> DataFrame:
     """(keys, total_bases, acgt_bases, md5): of the sequence without white space, its letters in upper case."""
     s = F.translate(F.regexp_replace(F.coalesce(seq, F.lit("")), r"\s", ""), ascii_lowercase, ascii_uppercase)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Hits from which a seed counts as a repeat; longest template considered; slack around a pair.
-SEED_CAP, LONGEST_TEMPLATE, ORPHAN_SLACK = 10, 50000, 50000
+#: Hits from which a seed counts as a repeat.
+SEED_CAP = 10
 #: Order of match kinds: a repeat sorts first, no match last.
 KINDS = ("too_many", "hit", "none")
 

@@ -6,6 +6,7 @@ is over the bases of the longest query, not over the rows.
 
 from __future__ import annotations
 
+import re
 from itertools import combinations
 
 import numpy as np
@@ -247,6 +248,16 @@ def realign(read: str, reference: str, position: int, gaps: list[tuple[int, int]
     return best or (f"{n}M", position, 0, 0)
 
 
+def parse_adapters(text: str) -> list[str]:
+    """Adapters of a list divided by commas: names of ADAPTERS, or bases open to one side by a '*' there."""
+    out: list[str] = []
+    for part in filter(None, text.split(",")):
+        if part not in ADAPTERS and not re.fullmatch(r"\*?[ACGT]+|[ACGT]+\*", part):
+            raise ValueError(f"{part} is no adapter")
+        out += ADAPTERS.get(part, [part])
+    return out
+
+
 def find_mate(mate: str, window: str, k: int = MATE_KMER) -> tuple[int, int] | None:
     """(offset, mismatches) of the best place of a mate in a window; None if no k-mer of it occurs there.
 
@@ -266,13 +277,6 @@ def find_mate(mate: str, window: str, k: int = MATE_KMER) -> tuple[int, int] | N
     return offsets[int(wrong.argmin())], int(wrong.min())
 
 
-@F.pandas_udf(_struct(offset=T.IntegerType(), mismatches=T.IntegerType()))
-def rescue_mate(mate: pd.Series, window: pd.Series) -> pd.DataFrame:
-    """``find_mate`` for each row; null where there is no place."""
-    found = [find_mate(m, w) if m is not None and w is not None else None for m, w in zip(mate, window, strict=True)]
-    return pd.DataFrame([f or (None, None) for f in found], columns=["offset", "mismatches"]).astype("Int32")
-
-
 @F.pandas_udf(_struct(cigar=T.StringType(), position=T.LongType(), mismatches=T.IntegerType(), cost=T.IntegerType()))
 def realign_gaps(read: pd.Series, reference: pd.Series, position: pd.Series, gap_pos: pd.Series, gap_len: pd.Series) -> pd.DataFrame:
     """``realign`` for each row; gaps as two arrays."""

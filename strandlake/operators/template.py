@@ -44,6 +44,23 @@ def template_length_stats(pairs: DataFrame, by: list[str], length: str, model: s
     )
 
 
+def template_samples(fragments: DataFrame, by: list[str], cluster: list[str]) -> DataFrame:
+    """(by, cluster, template_length, model): the templates that tell their true length.
+
+    ``fragments``: candidates of both ends (``end`` 1 or 2) with contig, pos, len (on the reference), reverse and cigar. Both
+    ends have exactly one candidate, on one contig, that doesn't begin or end with an insertion, and the
+    template is no longer than LONGEST.
+    """
+    place = F.struct("contig", "pos", "len", "reverse", "cigar")
+    one = lambda i: F.max(F.when(F.col("end") == i, place)).alias(f"e{i}")
+    ends = fragments.groupBy(*by, *cluster).agg(F.count_if(F.col("end") == 1).alias("n1"), F.count_if(F.col("end") == 2).alias("n2"), one(1), one(2))
+    a, b = F.col("e1"), F.col("e2")
+    inside = lambda e: ~F.coalesce(e["cigar"].rlike(r"^\d+I|I$"), F.lit(False))
+    rows = ends.where((F.col("n1") == 1) & (F.col("n2") == 1) & (a["contig"] == b["contig"]) & inside(a) & inside(b))
+    length = sc.template_length(a["pos"], a["len"], b["pos"], b["len"])
+    return rows.select(*by, *cluster, length.alias("template_length"), sc.model(a["reverse"], b["reverse"], a["pos"] > b["pos"]).alias("model")).where(F.col("template_length") <= LONGEST)
+
+
 def given_stats(text: str) -> dict:
     """A model given as ``min:median:max:low:high:best:second``, models by name ('FR+') or number."""
     parts = text.split(":")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.operators import kernels
+from strandlake.operators import kernels, rescue
 from strandlake.plans.reads import READ, reads_once
 
 QUERIES: dict = {}
@@ -63,14 +63,14 @@ WITH r AS (SELECT tile_id, cluster_id, read_no, max(seq) AS seq FROM cluster_rea
 SELECT tile_id, cluster_id, read_no, CAST(instr(seq, substr(seq, 11, 30)) - 1 AS INT) AS "offset", CAST(0 AS INT) AS mismatches FROM r""")
 def j11_mate_rescue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of thirty bases of each read of at least 50 in the read."""
-    rows = _reads(spark, sf_dir).where(F.length("seq") >= 50).withColumn("a", kernels.rescue_mate(F.substring("seq", 11, 30), F.col("seq")))
+    rows = _reads(spark, sf_dir).where(F.length("seq") >= 50).withColumn("a", rescue.rescue_mate(F.substring("seq", 11, 30), F.col("seq")))
     return rows.select(*READ, "a.offset", "a.mismatches")
 
 
 @query()
 def j11_rescue_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of thirty bases of each read in the read, of fewer in a read below 50 bases."""
-    rows = _reads(spark, sf_dir).withColumn("a", kernels.rescue_mate(F.substring("seq", _bases(10) + 1, _bases(30)), F.col("seq")))
+    rows = _reads(spark, sf_dir).withColumn("a", rescue.rescue_mate(F.substring("seq", _bases(10) + 1, _bases(30)), F.col("seq")))
     return rows.select(*READ, "a.offset", "a.mismatches")
 
 

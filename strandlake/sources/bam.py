@@ -115,7 +115,7 @@ def parse_record(raw: bytes, names: list[str]) -> tuple:
     return name, flag, title(ref), pos + 1, mapq, cigar, title(mate_ref), mate_pos + 1, tlen, seq, qual
 
 
-def sequencing_reads(records: DataFrame) -> DataFrame:
+def machine_reads(records: DataFrame) -> DataFrame:
     """Reads as they were sequenced: reverse records turned back, N and quality 0 for unknown bases."""
     reverse = F.col("flag").bitwiseAND(F.lit(16)) != 0
     seq = F.regexp_replace("seq", "[^ACGT]", "N")

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandlake.operators import kernels as k
+from strandlake.operators import rescue
 from strandlake.plans import kernels as plans
 
 
@@ -102,7 +103,7 @@ def test_mate_search():
 
 def test_udfs_with_nulls(spark):
     df = spark.createDataFrame([("ACGTACGTAC", "ACGTACGTACGTACGTACGTACGTA", 0, 3), (None, "A", 0, 3), ("ACGT", None, 0, 3)], "q string, d string, a int, b int")
-    got = df.select(k.banded_sw("q", "d").alias("s"), k.rescue_mate("q", "d").alias("m"), k.align_simple_indel("q", "d", "a", "b").alias("i"), k.clip_adapters(F.col("q"), F.col("d"), ["Standard"]).alias("c")).collect()
+    got = df.select(k.banded_sw("q", "d").alias("s"), rescue.rescue_mate("q", "d").alias("m"), k.align_simple_indel("q", "d", "a", "b").alias("i"), k.clip_adapters(F.col("q"), F.col("d"), ["Standard"]).alias("c")).collect()
     assert got[0]["s"]["cigar"] == "10M" and got[0]["m"]["offset"] == 0
     assert all(r["s"]["cigar"] is None and r["m"]["offset"] is None and r["i"]["cigar"] is None and r["c"]["clip_from"] == 0 for r in got[1:])
 

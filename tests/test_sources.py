@@ -128,7 +128,7 @@ def test_one_file_for_each_sample(spark, tmp_path):
 
 def test_reads_of_records(spark):
     df = spark.createDataFrame([("a", 16, "c", 1, 9, "4M", None, 0, 0, "ACGR", [1, 2, 3, 4]), ("a", 128 | 512, "c", 1, 9, "1M", None, 0, 0, "A", [5])], bam.SCHEMA)
-    got = [tuple(r) for r in bam.sequencing_reads(df).orderBy("read_no").collect()]
+    got = [tuple(r) for r in bam.machine_reads(df).orderBy("read_no").collect()]
     assert got == [("a", 1, True, "NCGT", [4, 3, 2, 1]), ("a", 2, False, "A", [5])]
 
 
