@@ -49,10 +49,14 @@ def cells(text: Column, separator: Column) -> Column:
     return F.transform(found, clean)
 
 
+#: Kinds of values, in the order in which they are tried.
+KINDS = ("integer", "flag", "bases", "text")
+
+
 def kind(value: Column) -> Column:
-    """The first kind that fits a value that isn't empty."""
+    """Number of the first kind that fits a value that isn't empty."""
     v = F.lower(value)
-    return F.when(v.rlike("^[0-9]+$"), "integer").when(v.isin("y", "n", "yes", "no", "true", "false"), "flag").when(v.rlike("^[acgtn-]+$"), "bases").otherwise("text")
+    return F.when(v.rlike("^[0-9]+$"), 0).when(v.isin("y", "n", "yes", "no", "true", "false"), 1).when(v.rlike("^[acgtn-]+$"), 2).otherwise(3)
 
 
 def sheets(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -90,8 +94,9 @@ def known_fields(aliases: DataFrame) -> DataFrame:
 
 
 def columns_of(header: DataFrame, fields: DataFrame) -> DataFrame:
-    """FILE, place in the order of the producer's files (``at``, dense), column, header key, field or null."""
+    """FILE, place in the order of the producer's files (``at``, dense), the file after it, column, header key, field or null."""
     at = ranked(header.select(*FILE), ["station"], "file_no").withColumnRenamed(RANK, "at")
+    at = at.join(at.select("station", (F.col("at") - 1).alias("at"), F.col("file_no").alias("next_file")), ["station", "at"], "left")
     each = header.select(*FILE, F.posexplode("names").alias("column", "header")).withColumn("key", normal(F.col("header")))
     return each.join(at, FILE).join(fields, "key", "left")
 
@@ -132,7 +137,7 @@ def field_of_unknown(columns: DataFrame, values: DataFrame) -> DataFrame:
 def catalogue(lines: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The columns of all files with field and kind, and the rows of all files.
 
-    Columns: FILE, ``at``, field, column (its place), key (of the header), kind (null without values),
+    Columns: FILE, ``at``, ``next_file``, field, column (its place), key (of the header), kind (null without values),
     one row for each file and field. If two columns of a file have one field, a known header goes before
     a found one, then the first column counts. 'unknown' and 'undetermined' are no values of a barcode.
     A header that neither an alias nor evidence names is a field of its own under its key; one without
@@ -140,15 +145,15 @@ def catalogue(lines: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFram
     """
     header, body = sheets(lines)
     columns = written(columns_of(header, known_fields(aliases)))
-    found = field_of_unknown(columns, values_of(body))
+    found = written(field_of_unknown(columns, values_of(body)))
     columns = columns.join(found, ["station", "key"], "left").withColumn("score", F.when(F.col("field").isNotNull(), 9.0).otherwise(F.coalesce("found_score", F.lit(0.0))))
     columns = columns.withColumn("field", F.coalesce("field", "found", "key")).where(F.col("field") != "")
     pick = F.max_by(F.struct("column", "key"), F.struct("score", -F.col("column")))
-    columns = columns.groupBy(*FILE, "at", "field").agg(pick.alias("c")).select(*FILE, "at", "field", "c.column", "c.key")
+    columns = columns.groupBy(*FILE, "at", "next_file", "field").agg(pick.alias("c")).select(*FILE, "at", "next_file", "field", "c.column", "c.key")
     named = F.when(~F.lower("value").isin("unknown", "undetermined"), F.col("kind"))
     kinds = values_of(body).withColumn("kind", kind(F.col("value"))).groupBy(*FILE, "column")
     kinds = kinds.agg(F.min("kind").alias("a"), F.max("kind").alias("b"), F.min(named).alias("c"), F.max(named).alias("d"))
-    of = lambda a, b: F.when(F.col(a) == F.col(b), F.col(a)).when(F.col(a).isNotNull(), "text")
+    of = lambda a, b: F.get(F.lit(list(KINDS)), F.when(F.col(a) == F.col(b), F.col(a)).when(F.col(a).isNotNull(), 3))
     columns = columns.join(kinds, [*FILE, "column"], "left").withColumn("kind", F.when(F.col("field") == "barcode", of("c", "d")).otherwise(of("a", "b")))
     return written(columns.drop("a", "b", "c", "d")), body
 
@@ -186,17 +191,16 @@ def history(columns: DataFrame) -> DataFrame:
 
 def changes(columns: DataFrame) -> DataFrame:
     """Every change of a producer's files: station, file_no, field_name, change_kind."""
-    rows = history(columns).drop("__b")
+    rows = history(columns)
+    gone = F.col("next_file").isNotNull() & (F.col("next").isNull() | (F.col("next") - F.col("at") > 1))
+    change = lambda when, file, kind: F.when(when, F.struct(F.col(file).alias("file_no"), F.lit(kind).alias("change_kind")))
     here = F.array_compact(F.array(
-        F.when(F.col("starts") & (F.col("at") > 0), F.lit("added")),
-        F.when(~F.col("starts") & (F.col("key") != F.col("prev_key")), F.lit("renamed")),
-        F.when(~F.col("starts") & (F.col("is_kind") != F.col("was_kind")), F.lit("retyped")),
+        change(F.col("starts") & (F.col("at") > 0), "file_no", "added"),
+        change(~F.col("starts") & (F.col("key") != F.col("prev_key")), "file_no", "renamed"),
+        change(~F.col("starts") & (F.col("is_kind") != F.col("was_kind")), "file_no", "retyped"),
+        change(gone, "next_file", "removed"),
     ))
-    seen = rows.select(*FILE, "field", F.explode(here).alias("change_kind"))
-    ends = rows.where(F.col("next").isNull() | (F.col("next") - F.col("at") > 1)).select("station", "field", (F.col("at") + 1).alias("at"))
-    # places are dense, so there is a file at the next one unless the field was in the last
-    gone = ends.join(columns.select(*FILE, "at").distinct(), ["station", "at"]).select(*FILE, "field", F.lit("removed").alias("change_kind"))
-    return seen.unionByName(gone).withColumnRenamed("field", "field_name")
+    return rows.select("station", F.col("field").alias("field_name"), F.explode(here).alias("c")).select("station", "c.file_no", "field_name", "c.change_kind")
 
 
 def lifespans(columns: DataFrame) -> DataFrame:

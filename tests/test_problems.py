@@ -244,8 +244,8 @@ def test_header_without_evidence_is_a_field_of_its_own(spark):
 
 def test_history_in_blocks_is_that_of_one_sequence(spark, monkeypatch):
     rng = random.Random(9)
-    rows = [("s", at * 2, at, f, rng.choice("hk"), rng.choice((None, None, "integer", "text"))) for f in "abc" for at in range(60) if rng.random() < {"a": 0.5, "b": 0.9, "c": 1}[f]]
-    columns = spark.createDataFrame(rows, "station string, file_no int, at long, field string, key string, kind string")
+    rows = [("s", at * 2, at, at * 2 + 2 if at < 59 else None, f, rng.choice("hk"), rng.choice((None, None, "integer", "text"))) for f in "abc" for at in range(60) if rng.random() < {"a": 0.5, "b": 0.9, "c": 1}[f]]
+    columns = spark.createDataFrame(rows, "station string, file_no int, at long, next_file int, field string, key string, kind string")
     whole = [sorted(map(tuple, f(columns).collect()), key=str) for f in (drift.changes, drift.lifespans)]
     monkeypatch.setattr(drift, "FILES", 4)
     assert [sorted(map(tuple, f(columns).collect()), key=str) for f in (drift.changes, drift.lifespans)] == whole
