@@ -25,15 +25,15 @@ from strandlake.llm.bpe import RANKS, TOKENIZERS
 from strandlake.llm.tokens import Tokenizer
 from strandlake.tables import written
 
-#: Items of a shard; words of a query; constants of BM25.
-SHARD, QUERY_WORDS, K1, B = 2048, 32, 1.2, 0.75
+#: Items of a shard; constants of BM25.
+SHARD, K1, B = 2048, 1.2, 0.75
 
 ITEM = "doc_id long, piece_no int, start_token long, n_tokens int, full boolean, words binary, counts binary"
 PLACED = "container string, place int, doc_id long, piece_no int, start_token long, n_tokens int"
 
 
 def items(documents: DataFrame, ident: str, text: str, capacity: int, folder: str, name: str) -> DataFrame:
-    """The items of every text with the counts of their words (as int32 and uint16 arrays); full containers without."""
+    """The items of every text with the counts of their words (as int32 and uint32 arrays); full containers without."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = Tokenizer(folder, name)
@@ -46,7 +46,7 @@ def items(documents: DataFrame, ident: str, text: str, capacity: int, folder: st
                 rest = ids[full * capacity :]
                 if len(rest) or not full:
                     words, counts = np.unique(rest[t.content[rest]], return_counts=True)
-                    rows.append((key, full, full * capacity, len(rest), False, words.astype(np.int32).tobytes(), counts.astype(np.uint16).tobytes()))
+                    rows.append((key, full, full * capacity, len(rest), False, words.astype(np.int32).tobytes(), counts.astype(np.uint32).tobytes()))
             columns = list(zip(*rows, strict=True)) or [[]] * 7
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in ITEM.split(", ")])
@@ -75,28 +75,30 @@ def document_frequencies(rows: DataFrame, vocabulary: int) -> tuple[np.ndarray,
 
 
 class Shard:
-    """Inverted index over some items: for each word its postings (item, BM25 weight)."""
+    """Inverted index over some items: for each word its postings (item, BM25 weight). A query is all words of an item."""
 
     def __init__(self, sizes: np.ndarray, words: list[np.ndarray], counts: list[np.ndarray], idf: np.ndarray, mean: float) -> None:
-        self.sizes = sizes
+        self.sizes, self.words = sizes, words
         lengths = np.array([len(w) for w in words], np.int64)
         doc = np.repeat(np.arange(len(sizes)), lengths)
         word = np.concatenate(words) if len(words) else np.zeros(0, np.int32)
         tf = np.concatenate(counts).astype(np.float64) if len(counts) else np.zeros(0)
         norm = K1 * (1 - B + B * sizes[doc] / max(mean, 1.0))
-        weight = idf[word] * tf * (K1 + 1) / (tf + norm)
-        # a query is the words that weigh most in its item
-        order = np.lexsort((word, -weight, doc))
-        start = np.concatenate(([0], np.cumsum(lengths)))
-        self.queries = [word[order[start[i] : min(start[i + 1], start[i] + QUERY_WORDS)]] for i in range(len(sizes))]
         order = np.argsort(word, kind="stable")
-        self.word, self.doc, self.weight = word[order], doc[order], weight[order]
+        self.word, self.doc, self.weight = word[order], doc[order], (idf[word] * tf * (K1 + 1) / (tf + norm))[order]
+        self.start = np.searchsorted(self.word, np.arange(len(idf) + 1))
+
+    def keep(self, items: np.ndarray) -> None:
+        """Drops the postings of all other items; the order of those that stay is the same."""
+        stay = items[self.doc]
+        self.word, self.doc, self.weight = self.word[stay], self.doc[stay], self.weight[stay]
+        self.start = np.searchsorted(self.word, np.arange(len(self.start)))
 
     def neighbours(self, item: int) -> tuple[np.ndarray, np.ndarray]:
         """Items that share words with an item and their scores, best first, ties by place."""
-        q = self.queries[item]
-        low, high = np.searchsorted(self.word, q), np.searchsorted(self.word, q, side="right")
-        at = np.concatenate([np.arange(a, b) for a, b in zip(low, high, strict=True)]) if len(q) else np.zeros(0, np.int64)
+        q = self.words[item]
+        low, n = self.start[q], self.start[q + 1] - self.start[q]
+        at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
         score = np.bincount(self.doc[at], self.weight[at], len(self.sizes))
         found = np.flatnonzero(score)
         found = found[np.lexsort((found, -score[found]))]
@@ -109,9 +111,13 @@ class Shard:
         by_size = order[::-1]
         keys = [int(self.sizes[i]) for i in by_size]
         out = []
+        indexed = len(order)
         for seed in order:
             if not unused[seed]:
                 continue
+            if unused.sum() * 2 < indexed:
+                self.keep(unused)
+                indexed = int(unused.sum())
             box, left = [seed], capacity - int(self.sizes[seed])
             unused[seed] = False
             if left and left >= keys[0]:
@@ -158,7 +164,7 @@ def pack(documents: DataFrame, ident: str, text: str, capacity: int, folder: str
         for batch in batches:
             first, second = [], []
             for words, counts in zip(batch.column("words").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                w, c = np.frombuffer(words, np.int32), np.frombuffer(counts, np.uint16)
+                w, c = np.frombuffer(words, np.int32), np.frombuffer(counts, np.uint32)
                 shared = df[w] > 1
                 w, c = w[shared], c[shared]
                 best = w[np.lexsort((w, -(idf[w] * np.log1p(c))))[:2]].tolist() + [-1, -1]
@@ -178,7 +184,7 @@ def pack(documents: DataFrame, ident: str, text: str, capacity: int, folder: str
 
     def packed(part: list) -> pa.RecordBatch:
         sizes = np.array([x["n_tokens"] for x in part], np.int64)
-        shard = Shard(sizes, [np.frombuffer(x["words"], np.int32) for x in part], [np.frombuffer(x["counts"], np.uint16) for x in part], idf, mean)
+        shard = Shard(sizes, [np.frombuffer(x["words"], np.int32) for x in part], [np.frombuffer(x["counts"], np.uint32) for x in part], idf, mean)
         out = [(f"{part[box[0]]['doc_id']}/{part[box[0]]['piece_no']}", at, *(part[i][c] for c in ("doc_id", "piece_no", "start_token", "n_tokens"))) for box in shard.containers(capacity) for at, i in enumerate(box)]
         kinds = [pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in PLACED.split(", ")])

@@ -49,3 +49,31 @@ def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of every document."""
     size, overlap = _budget(spark, sf_dir, "piece"), _budget(spark, sf_dir, "overlap")
     return splitting.split(table(spark, sf_dir, "documents"), "doc_id", "text", size, overlap)
+
+
+@query
+def p8_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts that the pieces of all documents put together again, without what they share."""
+    own = F.expr("substring(text, overlap_chars + 1)")
+    pieces = p8_pieces(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("piece_no", own.alias("own")))).alias("p"))
+    return pieces.select("doc_id", F.array_join(F.transform("p", lambda x: x["own"]), "").alias("text"))
+
+
+SQL["p8_texts"] = "SELECT doc_id, text FROM documents WHERE text <> ''"
+
+
+@query
+def p7_placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with what is wrong with its places: gaps or repeats, a split below the capacity, a container too full."""
+    capacity = _budget(spark, sf_dir, "container")
+    rows = p7_containers(spark, sf_dir)
+    full = rows.groupBy("container").agg(F.sum("n_tokens").alias("held"))
+    each = rows.join(full, "container").groupBy("doc_id").agg(
+        (F.sum("n_tokens") != F.max(F.col("start_token") + F.col("n_tokens"))).alias("broken"),
+        ((F.count(F.lit(1)) > 1) & (F.sum("n_tokens") <= capacity)).alias("split_below_capacity"),
+        F.bool_or(F.col("held") > capacity).alias("overfull"),
+    )
+    return each
+
+
+SQL["p7_placed"] = "SELECT doc_id, FALSE AS broken, FALSE AS split_below_capacity, FALSE AS overfull FROM documents"

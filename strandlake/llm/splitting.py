@@ -99,14 +99,14 @@ def cut(ids: np.ndarray, t: Tokenizer, size: int, overlap: int) -> list[tuple[in
     return pieces
 
 
-SCHEMA = "{ident} long, piece_no int, start_token int, end_token int, n_tokens int, overlap_tokens int, cut_kind string, text string"
+SCHEMA = "{ident} long, piece_no int, start_token int, end_token int, n_tokens int, overlap_tokens int, overlap_chars int, cut_kind string, text string"
 
 
 def split(documents: DataFrame, ident: str, text: str, size: int, overlap: int, folder: str = TOKENIZERS, name: str = RANKS) -> DataFrame:
     """Ordered pieces of every text, each at most ``size`` tokens of its text.
 
     A piece starts ``overlap`` tokens before the end of the one before (a few more, where that would
-    cut a character). A text within the size is one piece; a null or empty text has none. Rows are
+    cut a character); ``overlap_chars`` are its first characters, shared with the piece before. A text within the size is one piece; a null or empty text has none. Rows are
     independent, so nothing is shuffled.
     """
     if not 0 <= overlap < size // 2:
@@ -122,10 +122,11 @@ def split(documents: DataFrame, ident: str, text: str, size: int, overlap: int,
                 place = np.concatenate(([0], np.cumsum(t.lengths[ids]))).tolist()
                 before = 0
                 for no, (start, end, kind) in enumerate(cut(ids, t, size, overlap)):
-                    rows.append((key, no, start, end, end - start, max(0, before - start), kind, raw[place[start] : place[end]].decode("utf-8", "replace")))
+                    shared = raw[place[start] : place[max(before, start)]].decode("utf-8", "replace")
+                    rows.append((key, no, start, end, end - start, max(0, before - start), len(shared), kind, raw[place[start] : place[end]].decode("utf-8", "replace")))
                     before = end
-            columns = list(zip(*rows, strict=True)) or [[]] * 8
-            kinds = [pa.int64(), *[pa.int32()] * 5, pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[ident, "piece_no", "start_token", "end_token", "n_tokens", "overlap_tokens", "cut_kind", "text"])
+            columns = list(zip(*rows, strict=True)) or [[]] * 9
+            kinds = [pa.int64(), *[pa.int32()] * 6, pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[ident, "piece_no", "start_token", "end_token", "n_tokens", "overlap_tokens", "overlap_chars", "cut_kind", "text"])
 
     return documents.select(F.col(ident).cast("long").alias(ident), text).mapInArrow(pieces, SCHEMA.format(ident=ident))

@@ -114,6 +114,15 @@ def test_bm25_against_its_formula():
             assert np.isclose(s, sum(idf[w] * tf[w] * (packing.K1 + 1) / (tf[w] + norm) for w in words[q].tolist() if w in tf), rtol=1e-4)
         assert set(found.tolist()) == {d for d in range(40) if set(words[d].tolist()) & set(words[q].tolist())}
         assert (np.diff(score) <= 0).all()
+    # what is left of the index ranks the items that stay as before
+    ranked = [[i for i in shard.neighbours(q)[0].tolist() if i % 3 == 0] for q in range(40)]
+    shard.keep(np.arange(40) % 3 == 0)
+    assert [shard.neighbours(q)[0].tolist() for q in range(40)] == ranked
+
+
+def test_counts_of_a_word_beyond_two_bytes(spark):
+    row = packing.items(documents(spark, [" word" * 70000]), "doc_id", "text", 100000, bpe.TOKENIZERS, bpe.RANKS).collect()[0]
+    assert np.frombuffer(row["counts"], np.uint32).max() >= 69999
 
 
 def test_neighbours_share_a_container(spark):
@@ -148,6 +157,7 @@ def test_pieces_cover_the_text(spark, encoding):
         for before, p in zip([None, *pieces], pieces, strict=False):
             if before:
                 assert p["start_token"] == before["end_token"] - p["overlap_tokens"] and p["overlap_tokens"] >= 10
+                assert p["text"][: p["overlap_chars"]] == before["text"][len(before["text"]) - p["overlap_chars"] :]
             raw = encoding.decode_bytes(ids[p["start_token"] : p["end_token"]].tolist())
             assert raw.decode() == p["text"]
             whole += raw[int(t.lengths[ids[p["start_token"] : p["start_token"] + p["overlap_tokens"]]].sum()) :]
