@@ -212,6 +212,12 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def p4_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 barcodes with the most rows and their counts."""
+    return p4_bounds(spark, sf_dir).select("barcode", "row_count")
+
+
+@query
+def p4_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 barcodes with the most rows, bounds of their counts from the sketch, and the counts."""
     values = table(spark, sf_dir, "cluster_read").select(heavy.clean_barcode(F.col("barcode")).alias("barcode"))
     return heavy.top_values(values, "barcode", 20).withColumnRenamed("value", "barcode").withColumnsRenamed({"low": "low_count", "high": "high_count", "n": "row_count"})
@@ -221,6 +227,7 @@ _BARCODES = """
 SELECT replace(upper(trim(barcode)), '+', '-') AS barcode, count(*) AS row_count
 FROM cluster_read WHERE trim(barcode) <> '' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20"""
 SQL["p4_found"] = f"SELECT barcode FROM ({_BARCODES})"
+SQL["p4_counts"] = _BARCODES
 
 
 @query

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import glob
 import hashlib
-import os
+import posixpath
 import re
 import struct
 from collections.abc import Iterator
@@ -14,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from strandlake.sources import bgzf
+from strandlake.sources import bgzf, files
+from strandlake.tables import shared_folder
 
 #: Fixed values of the format: letters of base codes, of CIGAR operations; bases of a linear window.
 BASES, OPS, WINDOW = "=ACMGRSVTWYHKDBN", "MIDNSHP=X", 1 << 14
@@ -27,14 +27,6 @@ class File(InputPartition):
     path: str
 
 
-def expand(path: str) -> list[str]:
-    """Files of a path, a folder or a pattern, in order."""
-    path = path.removeprefix("file://")
-    if os.path.isdir(path):
-        return sorted(p for p in glob.glob(os.path.join(path, "**"), recursive=True) if os.path.isfile(p))
-    return sorted(glob.glob(path))
-
-
 class BamSource(DataSource):
     """``spark.read.format("bam").load(path)``: one row for each record, positions 1-based, 0 for none.
 
@@ -58,10 +50,10 @@ class BamReader(DataSourceReader):
         self.path, self.skip = path, skip
 
     def partitions(self) -> list[InputPartition]:
-        return [File(p) for p in expand(self.path) if p.endswith(".bam")]
+        return [File(p) for p in files.expand(self.path) if p.endswith(".bam")]
 
     def read(self, partition: File) -> Iterator[tuple]:
-        with open(partition.path, "rb") as f:
+        with files.open_read(partition.path) as f:
             data = Stream(content for _, content in bgzf.blocks(f))
             if data.take(4) != b"BAM\x01":
                 raise ValueError(f"{partition.path} is not a BAM file")
@@ -161,22 +153,19 @@ def write_bam(records: DataFrame, path: str, contigs: list[tuple[str, int, str |
 
     Records (the columns of SCHEMA) are sorted by range, each task writes its members to a part file
     beside ``path`` (a folder that all tasks share) and returns the index of its part. The driver puts
-    header, parts and end together, copying bytes. Unmapped records come last.
+    header, parts and end together, copying bytes and adding them to the checksum. Unmapped records come last.
     """
-    import shutil
-
     place = {name: i for i, (name, _, _) in enumerate(contigs)}
     folder = path + ".parts"
-    shutil.rmtree(folder, ignore_errors=True)
-    os.makedirs(folder)
+    files.remove_folder(folder)
 
     def parts(frames):
         import uuid
 
         # a task that is tried again writes another file; only the files it returned are used
-        target = os.path.join(folder, uuid.uuid4().hex)
+        target = f"{folder}/{uuid.uuid4().hex}"
         index, first, written = PartIndex(), None, 0
-        with open(target, "wb") as f:
+        with files.open_write(target) as f:
             out = bgzf.Writer(f, level)
             for frame in frames:
                 for row in frame.to_dict("records"):
@@ -207,35 +196,46 @@ def write_bam(records: DataFrame, path: str, contigs: list[tuple[str, int, str |
     text = header_text(contigs, groups or [], command).encode()
     head = b"BAM\x01" + struct.pack("<i", len(text)) + text + struct.pack("<i", len(contigs))
     head += b"".join(struct.pack("<i", len(n) + 1) + n.encode() + b"\0" + struct.pack("<i", size) for n, size, _ in contigs)
-    with open(path, "wb") as f:
-        out = bgzf.Writer(f, level)
-        out.write(head)
-        out.flush()
+    digest, place = hashlib.md5(), 0
+    with files.open_write(path) as f:
+
+        def put(data: bytes) -> None:
+            nonlocal place
+            f.write(data)
+            digest.update(data)
+            place += len(data)
+
+        for at in range(0, len(head), bgzf.CONTENT):
+            put(bgzf.member(head[at : at + bgzf.CONTENT], level))
         for part in found:
-            whole.merge(json.loads(part["index"]), f.tell())
-            with open(part["file"], "rb") as source:
-                shutil.copyfileobj(source, f)
-        f.write(bgzf.END)
-    with open(path + ".bai", "wb") as f:
+            whole.merge(json.loads(part["index"]), place)
+            with files.open_read(part["file"]) as source:
+                while data := source.read(1 << 22):
+                    put(data)
+        put(bgzf.END)
+    with files.open_write(path + ".bai") as f:
         f.write(whole.bai(len(contigs)))
-    with open(path, "rb") as f, open(path + ".md5", "w") as out:
-        out.write(f"{hashlib.file_digest(f, 'md5').hexdigest()}  {os.path.basename(path)}\n")
-    shutil.rmtree(folder)
+    with files.open_write(path + ".md5") as f:
+        f.write(f"{digest.hexdigest()}  {posixpath.basename(path)}\n".encode())
+    files.remove_folder(folder)
 
 
 def write_samples(records: DataFrame, folder: str, contigs: list[tuple[str, int, str | None]], command: str = "") -> list[str]:
     """One BAM file for each project and sample: ``folder/<project>/<sample>/sorted.bam``; their paths.
 
-    The samples of a run are few (they are named in its sheet); each file is a job of its own. Null
-    names read 'default' and 'unknown'.
+    Records are divided once, into a table in the shared folder with a part for each sample, so each file
+    reads its own records only. The samples of a run are few (they are named in its sheet); each file is a
+    job of its own. Null names read 'default' and 'unknown'.
     """
-    names = records.select(F.coalesce("project", F.lit("default")).alias("project"), F.coalesce("sample", F.lit("unknown")).alias("sample"))
+    spark = records.sparkSession
     named = records.withColumns({"project": F.coalesce("project", F.lit("default")), "sample": F.coalesce("sample", F.lit("unknown"))})
+    divided = shared_folder(spark)
+    named.write.partitionBy("project", "sample").parquet(divided)
+    rows = spark.read.schema(named.schema).parquet(divided)
     out = []
-    for r in names.distinct().orderBy("project", "sample").collect():
-        path = os.path.join(folder, r["project"], r["sample"], "sorted.bam")
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-        part = named.where((F.col("project") == r["project"]) & (F.col("sample") == r["sample"])).drop("project", "sample")
+    for r in rows.select("project", "sample").distinct().orderBy("project", "sample").collect():
+        path = f"{folder.rstrip('/')}/{r['project']}/{r['sample']}/sorted.bam"
+        part = rows.where((F.col("project") == r["project"]) & (F.col("sample") == r["sample"])).drop("project", "sample")
         write_bam(part, path, contigs, [{"ID": "0", "SM": r["sample"]}], command)
         out.append(path)
     return out

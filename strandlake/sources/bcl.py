@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.sources import bgzf
+from strandlake.sources import bgzf, files
 
 #: Clusters of one stretch; fixed values of the compressed positions: blocks of 25, of a 2048 wide image.
 STRETCH, BLOCK, IMAGE = 4096, 25, 2048
@@ -78,7 +78,7 @@ def read_lane_cycles(spark: SparkSession, path: str) -> DataFrame:
         for frame in frames:
             for row in frame.itertuples():
                 data, skip = bytearray(), row.place & 0xFFFF
-                with open(row.file.removeprefix("file:"), "rb") as f:
+                with files.open_read(row.file) as f:
                     f.seek(row.place >> 16)
                     for _, content in bgzf.blocks(f):
                         data += content

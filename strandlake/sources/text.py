@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gzip
-import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -12,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from strandlake.sources.bam import expand
+from strandlake.sources import files
 
 #: Bases of one row of a FASTA file; bytes of one task of a plain FASTQ file; highest quality.
 FASTA_ROW, FASTQ_SPLIT, HIGHEST = 1 << 16, 64 << 20, 63
@@ -27,7 +26,7 @@ class Part(InputPartition):
 
 
 def _open(path: str):
-    return gzip.open(path, "rb") if path.endswith(".gz") else open(path, "rb")
+    return gzip.open(files.open_read(path), "rb") if path.endswith(".gz") else files.open_read(path)
 
 
 class FastaSource(DataSource):
@@ -53,7 +52,7 @@ class FastaReader(DataSourceReader):
         self.path, self.overlap = path, overlap
 
     def partitions(self) -> list[InputPartition]:
-        return [Part(p, 0, None) for p in expand(self.path)]
+        return [Part(p, 0, None) for p in files.expand(self.path)]
 
     def read(self, part: Part) -> Iterator[tuple]:
         no, name, start, held, size = -1, "", 0, "", FASTA_ROW + self.overlap
@@ -105,11 +104,11 @@ class FastqReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         out: list[InputPartition] = []
-        for p in expand(self.path):
+        for p in files.expand(self.path):
             if p.endswith(".gz"):
                 out.append(Part(p, 0, None))
             else:
-                size = os.path.getsize(p)
+                size = files.size(p)
                 out += [Part(p, s, min(s + self.split, size)) for s in range(0, size, self.split)]
         return out
 

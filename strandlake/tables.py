@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Paths in the shared folder that this process has asked for.
+_FOLDERS: list[str] = []
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of a data folder; Catalyst prunes its columns and pushes filters down."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -16,14 +20,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """A fresh path in the folder named by ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (local tests) a temporary folder is chosen and set, so no
-    machine-local folder is used on a cluster.
+    Only in a local session without that setting (tests) a temporary folder is chosen and set; on a
+    cluster its absence is an error, as a folder of one machine isn't shared.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="strandlake-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/strandlake-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/strandlake-{uuid.uuid4().hex}"
+    _FOLDERS.append(path)
+    return path
+
+
+def discard(spark: SparkSession) -> None:
+    """Deletes the tables that this process wrote to the shared folder; results that read them must be done."""
+    while _FOLDERS:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_FOLDERS.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame) -> DataFrame:

@@ -236,3 +236,42 @@ def test_model_settles(spark, tmp_path):
     build = lambda s: s.writeStream.foreachBatch(model).option("checkpointLocation", f"{tmp_path}/cp2").trigger(availableNow=True).start()
     run_stream(spark, tmp_path, [rows, rows, [("x", 9000, 1)] * 5000], "b string, length long, model int", build, "lengths")
     assert model.stable and model.value.iloc[0]["median_length"] == 210
+
+
+def test_files_of_another_file_system(tmp_path, monkeypatch):
+    from pyarrow import fs
+
+    from strandlake.sources import files
+
+    for name in ("a/1.bam", "a/b/2.bam", "c.txt"):
+        with files.open_write(f"{tmp_path}/{name}") as f:
+            f.write(name.encode())
+    inside = lambda p: (fs.LocalFileSystem(), p.removeprefix("mock://"))
+    monkeypatch.setattr(fs, "FileSystem", type("FileSystem", (), {"from_uri": staticmethod(inside)}))
+    at = f"mock://{tmp_path}"
+    every = [f"{at}/a/1.bam", f"{at}/a/b/2.bam", f"{at}/c.txt"]
+    assert files.expand(at) == every and files.expand(f"{at}/c.txt") == every[2:] and files.expand(f"{at}/a/*.bam")[:1] == every[:1]
+    assert files.expand(f"{at}/none/*") == [] and files.size(every[2]) == 5
+    with files.open_write(f"{at}/new/x") as f:
+        f.write(b"line\nrest")
+    with files.open_read(f"{at}/new/x") as f:
+        assert f.readline() == b"line\n" and f.tell() == 5 and f.seek(1) == 1 and f.read() == b"ine\nrest"
+    files.remove_folder(f"{at}/new")
+    files.remove_folder(f"{at}/new")
+    assert files.expand(at) == every and files.expand(f"file://{tmp_path}/c.txt") == [f"{tmp_path}/c.txt"]
+
+
+def test_shared_folder_of_a_cluster_must_be_named(spark, monkeypatch):
+    from strandlake import tables
+
+    frame = tables.written(spark.range(3))
+    assert frame.count() == 3 and tables._FOLDERS
+    tables.discard(spark)
+    assert not tables._FOLDERS
+
+    class Cluster:
+        conf = type("Conf", (), {"get": staticmethod(lambda *_: None)})
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        tables.shared_folder(Cluster)
