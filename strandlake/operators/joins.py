@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.tables import written
+
 #: Hits from which a seed counts as a repeat.
 SEED_CAP = 10
 #: Order of match kinds: a repeat sorts first, no match last.
@@ -26,10 +28,11 @@ def seed_join(seeds: DataFrame, index: DataFrame, cap: int = SEED_CAP) -> DataFr
 def seed_search(seeds: DataFrame, kmers: DataFrame, place: list[str], cap: int = SEED_CAP) -> DataFrame:
     """As ``seed_join``, against the k-mers of contigs (``kmer`` and the columns of ``place``) without an index.
 
-    Only k-mers that some seed has are kept; they are counted, and the places of those below the cap
-    joined row by row, so no list of places is built and a repeat never meets its places.
+    Only k-mers that some seed has are kept, in a table written once (the k-mers of all contigs are made
+    one time only); they are counted, and the places of those below the cap joined row by row, so no
+    list of places is built and a repeat never meets its places.
     """
-    near = kmers.join(seeds.select("kmer").distinct(), "kmer", "left_semi")
+    near = written(kmers.join(seeds.select("kmer").distinct(), "kmer", "left_semi").select("kmer", *place))
     counts = near.groupBy("kmer").agg(F.count(F.lit(1)).alias("__n"))
     hits = near.join(counts.where(F.col("__n") < cap), "kmer").select("kmer", F.struct(*place).alias("hit"))
     kind = F.when(F.col("__n").isNull(), "none").when(F.col("__n") >= cap, "too_many").otherwise("hit")
@@ -38,14 +41,16 @@ def seed_search(seeds: DataFrame, kmers: DataFrame, place: list[str], cap: int =
 
 
 def two_pass(seeds: DataFrame, search, read: list[str], order: str, first: int = 1) -> DataFrame:
-    """Matches of the first seeds; further seeds only of reads that those left without a hit.
+    """Matches of the first seeds; of further seeds only those of reads that the first left without a hit.
 
-    ``search`` gives the matches of some seeds, by ``seed_join`` or ``seed_search``.
+    ``search`` gives the matches of some seeds, by ``seed_join`` or ``seed_search``. All seeds are searched
+    at once, as a pass over the index costs more than the seeds that a second one would spare.
     """
-    one = search(seeds.where(F.col(order) < first))
+    found = written(search(seeds))
+    one = found.where(F.col(order) < first)
     resolved = one.where("match_kind = 'hit'").select(*read).distinct()
-    rest = seeds.where(F.col(order) >= first).join(resolved, read, "left_anti")
-    return one.withColumn("pass", F.lit(1)).unionByName(search(rest).withColumn("pass", F.lit(2)))
+    rest = found.where(F.col(order) >= first).join(resolved, read, "left_anti")
+    return one.withColumn("pass", F.lit(1)).unionByName(rest.withColumn("pass", F.lit(2)))
 
 
 def neighbour_join(seeds: DataFrame, kmers: DataFrame, k: int) -> DataFrame:

@@ -128,11 +128,15 @@ def f02_use_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passing reads of chosen tiles under the mask 'y*n' (all cycles but the last)."""
     from strandlake.plans.masks import cycles_of, parse_bases_mask
 
-    lengths = [r["read_length"] for r in table(spark, sf_dir, "read_meta").select("read_length").distinct().orderBy("read_length").collect()]
+    # the lengths of the reads of all runs: a few
+    meta = table(spark, sf_dir, "read_meta").select("flowcell", "read_no", "read_length").distinct()
+    lengths = [r["read_length"] for r in meta.select("read_length").distinct().orderBy("read_length").collect()]
     tiles = table(spark, sf_dir, "tile").where(F.concat_ws("/", "lane", "tile_no").rlike("^[245]/(11|21)"))
-    used = parse_bases_mask("y*n", lengths[:1])[0]
-    rows = table(spark, sf_dir, "cluster_read").where("pf").join(tiles.select("tile_id"), "tile_id", "left_semi")
-    return rows.select(*READ, cycles_of(F.col("seq"), used).alias("used"))
+    rows = table(spark, sf_dir, "cluster_read").where("pf").join(tiles.select("tile_id", "flowcell"), "tile_id").join(meta, ["flowcell", "read_no"], "left")
+    used = F.lit(None).cast("string")
+    for n in lengths:
+        used = F.when(F.col("read_length") == n, cycles_of(F.col("seq"), parse_bases_mask("y*n", [n])[0])).otherwise(used)
+    return rows.select(*READ, used.alias("used"))
 
 
 @query("""
