@@ -176,6 +176,46 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_readings(spark, sf_dir).where(F.col("reason").isNotNull()).select(*spikes.SOURCE, "cycle_no")
 
 
+_SRC = "flowcell, lane, tile_no, read_no"
+_SERIES = f"PARTITION BY {_SRC} ORDER BY cycle_no"
+
+
+def _in_a_row(shift: str) -> str:
+    """SQL: how many of the next three readings at one side are out of the same fence without a break."""
+    same = [f"coalesce({shift}(side, {k}) OVER w = side, FALSE)" for k in (1, 2, 3)]
+    return " + ".join(f"CAST({' AND '.join(same[: k + 1])} AS INT)" for k in range(3))
+
+
+_READINGS = f"""
+WITH g AS (SELECT * FROM tile_cycle_stat WHERE mismatches IS NOT NULL AND cycle_no IS NOT NULL),
+o AS (SELECT {_SRC}, cycle_no, arg_min(struct_pack(m := mismatches, b := blanks), struct_pack(n := loaded_at IS NULL, l := loaded_at, m := mismatches)) AS r, max(fragments) AS f FROM g GROUP BY ALL),
+t AS (SELECT {_SRC}, cycle_no, r.m AS m, r.b AS b, max(f) OVER (PARTITION BY {_SRC}) AS fragments FROM o),
+c AS (SELECT flowcell, read_no, min(first_cycle) AS first, max(first_cycle + read_length - 1) AS last FROM read_meta GROUP BY ALL),
+i AS (SELECT t.*, m < 0 OR coalesce(m + coalesce(b, 0) > fragments, FALSE) OR coalesce(cycle_no < first OR cycle_no > last, FALSE)
+    OR (t.flowcell IS NOT NULL AND t.lane IS NOT NULL AND t.tile_no IS NOT NULL AND NOT EXISTS (SELECT 1 FROM tile k WHERE k.flowcell = t.flowcell AND k.lane = t.lane AND k.tile_no = t.tile_no)) AS impossible
+  FROM t LEFT JOIN c ON c.flowcell = t.flowcell AND c.read_no = t.read_no),
+n AS (SELECT *, CASE WHEN m = lag(m) OVER w THEN 0 ELSE 1 END AS new FROM i WHERE NOT impossible WINDOW w AS ({_SERIES})),
+u AS (SELECT *, sum(new) OVER ({_SERIES}) AS run FROM n),
+y AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY {_SRC}, run) < {spikes.FROZEN} THEN CAST(m AS DOUBLE) END AS y FROM u),
+l AS (SELECT *, coalesce(list(y) FILTER (WHERE y IS NOT NULL) OVER (w ROWS BETWEEN {spikes.REACH} PRECEDING AND 1 PRECEDING), []) AS p, coalesce(list(y) FILTER (WHERE y IS NOT NULL) OVER (w ROWS BETWEEN 1 FOLLOWING AND {spikes.REACH} FOLLOWING), []) AS q
+  FROM y WINDOW w AS ({_SERIES})),
+e AS (SELECT *, cycle_no // {spikes.BAND} AS band, CASE WHEN y IS NOT NULL THEN ln((y + 1) / (list_median(list_concat(list_concat(p[-{spikes.SIDE}:], [y]), q[:{spikes.SIDE}])) + 1)) END AS e FROM l),
+k AS (SELECT *, list_sort(list(e) FILTER (WHERE e IS NOT NULL) OVER (PARTITION BY {_SRC}, band)) AS own, list_sort(list(e) FILTER (WHERE e IS NOT NULL) OVER (PARTITION BY {_SRC})) AS whole FROM e),
+s AS (SELECT *, CASE WHEN len(own) >= {spikes.ENOUGH} THEN own ELSE whole END AS x FROM k),
+z AS (SELECT *, x[CAST(ceil(0.25 * len(x)) AS INT)] AS q1, x[CAST(ceil(0.75 * len(x)) AS INT)] AS q3, whole[CAST(ceil(0.75 * len(whole)) AS INT)] - whole[CAST(ceil(0.25 * len(whole)) AS INT)] AS w FROM s),
+f AS (SELECT *, q1 - {spikes.FENCE} * greatest(q3 - q1, w, {spikes.LEAST_RANGE}) AS lo, q3 + {spikes.FENCE} * greatest(q3 - q1, w, {spikes.LEAST_RANGE}) AS hi FROM z),
+d AS (SELECT *, CASE WHEN e > hi THEN 1 WHEN e < lo THEN -1 WHEN e IS NOT NULL THEN 0 END AS side FROM f),
+h AS (SELECT *, CASE WHEN side = 0 THEN y END AS calm FROM d),
+j AS (SELECT *, (coalesce(list(calm) FILTER (WHERE calm IS NOT NULL) OVER (w ROWS BETWEEN {spikes.REACH} PRECEDING AND 1 PRECEDING), []))[-{spikes.SIDE}:] AS before, (coalesce(list(calm) FILTER (WHERE calm IS NOT NULL) OVER (w ROWS BETWEEN 1 FOLLOWING AND {spikes.REACH} FOLLOWING), []))[:{spikes.SIDE}] AS after,
+  1 + {_in_a_row('lag')} + {_in_a_row('lead')} AS size FROM h WINDOW w AS ({_SERIES})),
+a AS (SELECT *, ln((y + 1) / (list_median(before) + 1)) AS up, ln((y + 1) / (list_median(after) + 1)) AS down FROM j),
+r AS (SELECT {_SRC}, cycle_no, m AS mismatches, b AS blanks, fragments, CASE WHEN y IS NULL THEN 'frozen'
+    WHEN side <> 0 AND len(before) + len(after) > 0 AND size <= {spikes.EXCURSION} AND (up IS NULL OR (side = 1 AND up > hi) OR (side = -1 AND up < lo)) AND (down IS NULL OR (side = 1 AND down > hi) OR (side = -1 AND down < lo)) THEN 'jump' END AS reason FROM a
+  UNION ALL SELECT {_SRC}, cycle_no, m, b, fragments, 'impossible' FROM i WHERE impossible)"""
+SQL["p2_readings"] = f"{_READINGS} SELECT * FROM r"
+SQL["p2_found"] = f"{_READINGS} SELECT {_SRC}, cycle_no FROM r WHERE reason IS NOT NULL"
+
+
 def _catalogue(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return drift.catalogue(table(spark, sf_dir, "sample_sheet_line"), table(spark, sf_dir, "sheet_alias"))
 
