@@ -239,10 +239,15 @@ def a16_bin_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build.match_distribution(fragment_rows(spark, sf_dir), "contig", "pos")
 
 
-@query()
+@query(f"""WITH RECURSIVE {FRAGMENTS}, h AS (SELECT contig, pos * 64 // 2048 AS bin, count(*) AS n FROM f GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY contig ORDER BY bin) AS k FROM h),
+w AS (SELECT contig, k, bin, n AS size, CAST(0 AS BIGINT) AS output_bin FROM o WHERE k = 1
+  UNION ALL SELECT o.contig, o.k, o.bin, CASE WHEN size + n > 40 THEN n ELSE size + n END, CASE WHEN size + n > 40 THEN output_bin + 1 ELSE output_bin END FROM w JOIN o ON o.contig = w.contig AND o.k = w.k + 1)
+SELECT contig, bin, output_bin FROM w""")
 def w09_output_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Output bins of at most 40 fragments from consecutive stretches."""
-    return build.plan_bins(build.match_distribution(fragment_rows(spark, sf_dir), "contig", "pos"), "contig", 40)
+    """Output bins of at most 40 fragments from consecutive stretches; positions are spread to 64 times as far."""
+    f = fragment_rows(spark, sf_dir).withColumn("pos", F.col("pos") * 64)
+    return build.plan_bins(build.match_distribution(f, "contig", "pos"), "contig", 40)
 
 
 @query("""
@@ -339,7 +344,9 @@ def f05_above_mapq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build.above_mapq(f, 30).select("cluster", "part")
 
 
-@query()
+@query(f"""{_MARKED}, s AS (SELECT library, lane, count(*) AS total, count(*) FILTER (WHERE NOT duplicate) AS uniq FROM d GROUP BY ALL)
+SELECT library, lane, '<BuildStats>' || chr(10) || '    <library>' || library || '</library>' || chr(10) || '    <lane>' || lane || '</lane>' || chr(10) || '    <total>' || total || '</total>' || chr(10)
+  || '    <unique_fragments>' || uniq || '</unique_fragments>' || chr(10) || '</BuildStats>' AS xml FROM s""")
 def k10_stats_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Duplicate statistics of each library and lane as XML."""
     return stats.as_xml(a09_duplicate_stats(spark, sf_dir), ["library", "lane"], "BuildStats")
