@@ -95,7 +95,7 @@ def known_fields(aliases: DataFrame) -> DataFrame:
 
 def columns_of(header: DataFrame, fields: DataFrame) -> DataFrame:
     """FILE, place in the order of the producer's files (``at``, dense), the file after it, column, header key, field or null."""
-    at = ranked(header.select(*FILE), ["station"], "file_no").withColumnRenamed(RANK, "at")
+    at = written(ranked(header.select(*FILE), ["station"], "file_no").withColumnRenamed(RANK, "at"))
     at = at.join(at.select("station", (F.col("at") - 1).alias("at"), F.col("file_no").alias("next_file")), ["station", "at"], "left")
     each = header.select(*FILE, F.posexplode("names").alias("column", "header")).withColumn("key", normal(F.col("header")))
     return each.join(at, FILE).join(fields, "key", "left")
@@ -106,28 +106,32 @@ def field_of_unknown(columns: DataFrame, values: DataFrame) -> DataFrame:
 
     A field that stands beside the header under a known name is excluded. Distinct values are
     compared, never rows, so the join is as large as the sets of values. Without evidence: no field.
+    Each step is written: every task of a plan sends the metrics of all of its plan to the driver, which
+    for one plan of all steps were up to 80 KB a task.
     """
-    unknown = columns.where(F.col("field").isNull() & (F.col("key") != "")).select("station", "key").distinct()
+    strange = columns.where(F.col("field").isNull() & (F.col("key") != "")).select("station", "key", "at")
+    unknown = written(strange.groupBy("station", "key").agg(F.min("at").alias("at")))
     digits = F.regexp_extract(F.col("value"), r"([1-9][0-9]*)[^0-9]*$", 1)
     forms = F.explode(F.array(F.struct(F.lit(EXACT).alias("w"), F.lower("value").alias("v")), F.struct(F.lit(DIGITS).alias("w"), F.concat(F.lit("#"), digits).alias("v"))))
     # only the values of producers that have such a header
     places = columns.where(F.col("key") != "").join(unknown.select("station").distinct(), "station", "left_semi").select(*FILE, "column", F.when(F.col("field").isNull(), F.col("key")).alias("key"), "field")
     sets = values.join(places, [*FILE, "column"]).select("station", "key", "field", "value").distinct()
-    sets = sets.select("station", "key", "field", forms.alias("f")).select("station", "key", "field", "f.w", "f.v").where("v <> '#'").distinct()
+    sets = written(sets.select("station", "key", "field", forms.alias("f")).select("station", "key", "field", "f.w", "f.v").where("v <> '#'").distinct())
     ours, theirs = sets.where("field IS NULL").drop("field"), sets.where("field IS NOT NULL").drop("key", "w")
     total = ours.groupBy("station", "key", "w").agg(F.count(F.lit(1)).alias("total"))
     hits = ours.join(theirs, ["station", "v"]).groupBy("station", "key", "w", "field").agg(F.count(F.lit(1)).alias("hits"))
     share = hits.join(total, ["station", "key", "w"]).select("station", "key", "field", (F.col("w") * F.col("hits") / F.col("total")).alias("score"))
-    share = share.groupBy("station", "key", "field").agg(F.max("score").alias("score"))
-    elsewhere = share.groupBy("key", "field").agg(F.sum("score").alias("score"))
+    share = written(share.groupBy("station", "key", "field").agg(F.max("score").alias("score")))
+    elsewhere = written(share.groupBy("key", "field").agg(F.sum("score").alias("score")))
     most = elsewhere.groupBy("key").agg(F.sum("score").alias("all"))
     elsewhere = elsewhere.join(most, "key").select("key", "field", (F.col("score") / F.col("all") * ELSEWHERE).alias("score"))
+    # the known fields of each file: at most those of the alias table
+    named = written(columns.where(F.col("field").isNotNull()).groupBy("station", "at").agg(F.collect_set("field").alias("named")))
     # fields known in the file before but not in the one in which the header appears
-    named = columns.where(F.col("field").isNotNull()).select("station", "at", "field").distinct()
-    start = columns.join(unknown, ["station", "key"]).groupBy("station", "key").agg(F.min("at").alias("at"))
-    before = start.join(named.withColumn("at", F.col("at") + 1), ["station", "at"])
-    lost = before.join(named, ["station", "at", "field"], "left_anti").select("station", "key", "field", F.lit(LOST).alias("score"))
-    beside = columns.join(unknown, ["station", "key"]).select("station", "key", "at").join(named, ["station", "at"]).select("station", "key", "field").distinct()
+    before = unknown.join(named.select("station", (F.col("at") + 1).alias("at"), F.col("named").alias("before")), ["station", "at"]).join(named, ["station", "at"], "left")
+    gone = F.array_except("before", F.coalesce("named", F.array().cast("array<string>")))
+    lost = before.select("station", "key", F.explode(gone).alias("field"), F.lit(LOST).alias("score"))
+    beside = strange.join(named, ["station", "at"]).select("station", "key", F.explode("named").alias("field")).distinct()
     everything = share.unionByName(unknown.join(elsewhere, "key").select("station", "key", "field", "score")).unionByName(lost)
     score = everything.groupBy("station", "key", "field").agg(F.sum("score").alias("score")).join(beside, ["station", "key", "field"], "left_anti")
     best = score.groupBy("station", "key").agg(F.max(F.struct("score", "field")).alias("b"))

@@ -251,6 +251,28 @@ def test_history_in_blocks_is_that_of_one_sequence(spark, monkeypatch):
     assert [sorted(map(tuple, f(columns).collect()), key=str) for f in (drift.changes, drift.lifespans)] == whole
 
 
+def test_tasks_send_little_to_the_driver(spark):
+    store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jvm
+    bus = spark.sparkContext._jsc.sc().listenerBus()
+
+    def stages():
+        bus.waitUntilEmpty(30_000)
+        found = store.stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {x.stageId(): x.resultSize() / max(1, x.numCompleteTasks()) for x in map(found.apply, range(found.size()))}
+
+    seen = stages()
+    files = {1: ["SampleID,Lane", "s17,1", "s18,2", "s19,3"], 2: ["Aliquot,Lane", "17,1", "18,2", "19,3"], 3: ["aliquot,Lane"]}
+    assert drifts(spark, files) == [(2, "sample", "renamed"), (2, "sample", "retyped")]
+    new = {k: v for k, v in stages().items() if k not in seen}
+    assert len(new) > 10 and max(new.values()) < 40_000
+
+
+def test_header_beside_a_known_field_and_after_a_lost_one(spark):
+    # "pos" stands beside Sample and Lane, so it is neither; "spot" appears as both are lost, in a file without known fields
+    files = {1: ["SampleID,Lane", "s1,1"], 2: ["SampleID,Lane,Pos", "s1,1,1"], 3: ["Spot", "zz"]}
+    assert drifts(spark, files) == [(2, "pos", "added"), (3, "lane", "removed"), (3, "pos", "removed"), (3, "sample", "renamed")]
+
+
 def test_sheets_without_rows_or_content(spark):
     assert drifts(spark, {1: ["", "#x"]}) == []
     assert drifts(spark, {1: ["Lane,,Lane"], 2: ["Lane"]}) == []
