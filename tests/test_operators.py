@@ -226,6 +226,34 @@ def test_demultiplex(spark):
     assert [(r["code"], r["n"]) for r in sorted(top, key=lambda r: r["place"])] == [("AAAA", 2), ("AAAA-CCCT", 2)]
 
 
+def test_demultiplex_lists_no_spellings(spark):
+    # 200 samples with 231,361 spellings each; letters that no spelling has count as mismatches, and a third part doesn't count
+    rng = random.Random(21)
+    rows = [("F", 1 + i % 2, i, f"{dna(rng, 8)}-{dna(rng, 8)}", [2, 2]) for i in range(200)]
+    rows += [("F", 1, 200, "acgtacgt", [3, 3]), ("F", 2, 201, "ACGTACG-TT", [0, None]), ("F", 2, 202, "", None), ("F", 1, 203, "AC-GT", [-1, 1])]
+    codes = ["AC-GT", "-", "A", "ACG-T", "ACGTACGT-"]
+    for _, _, _, text, _ in rows:
+        for n in range(6):
+            code = list(text.upper())
+            for i in rng.sample(range(len(code)), min(n, len(code))):
+                code[i] = code[i] if code[i] == "-" else rng.choice("ACGTN.")
+            codes.append("".join(code) + "-A" * (n == 1))
+    seen = spark.createDataFrame([("F", lane, c) for lane in (1, 2) for c in codes], "flowcell string, lane int, code string").distinct()
+
+    def found(lane, code):
+        x, y = [*code.split("-"), ""][:2]
+        fits = []
+        for _, at, i, text, allowed in rows:
+            (a, b), (ma, mb) = [*text.upper().split("-"), ""][:2], [1 if m is None else m for m in allowed or (1, 1)]
+            if at == lane and (len(x), len(y)) == (len(a), len(b)) and (b or "-" not in code):
+                da, db = (sum(p != q for p, q in zip(*z, strict=True)) for z in ((x, a), (y, b)))
+                fits += [(da + db, i)] if da <= ma and db <= mb else []
+        return min(fits)[::-1] if fits else (None, None)
+
+    got = {(r["lane"], r["code"]): (r["found_id"], r["mismatched"]) for r in demux.demultiplex(seen, spark.createDataFrame(rows, SHEET), "code").collect()}
+    assert got == {(lane, c): found(lane, c) for lane in (1, 2) for c in codes}
+
+
 def test_barcode_collision(spark):
     apart = demux.expand_barcodes(spark.createDataFrame([("F", 1, 1, "G-AAA", [1, 1]), ("F", 1, 2, "T-CCC", [1, 1])], SHEET))
     assert demux.collisions(apart).count() == 0
