@@ -254,6 +254,24 @@ def test_demultiplex_lists_no_spellings(spark):
     assert got == {(lane, c): found(lane, c) for lane in (1, 2) for c in codes}
 
 
+def test_demultiplex_query_as_its_sql(spark, tmp_path):
+    # a letter that no spelling has, three mismatches that a sheet allows, a third part
+    duckdb = pytest.importorskip("duckdb")
+    from strandlake.plans import reads
+
+    spark.createDataFrame([("F", 1, 1, "ACGTACGT-GGTTGGTT", [1, 1]), ("F", 1, 2, "ttttcccc", [3, 1])], SHEET).coalesce(1).write.parquet(f"{tmp_path}/barcode.parquet")
+    spark.createDataFrame([(7, "F", 1)], "tile_id int, flowcell string, lane int").coalesce(1).write.parquet(f"{tmp_path}/tile.parquet")
+    codes = ["ACGTACG.+GGTTGGTT", " acgtacgt-ggttggt? ", "TTTTCGGG", "TTTTGGGG", "ACGTACGT-GGTTGGTT-A", "", None]
+    spark.createDataFrame([(7, i, 1, c) for i, c in enumerate(codes)], "tile_id int, cluster_id long, read_no int, barcode string").coalesce(1).write.parquet(f"{tmp_path}/cluster_read.parquet")
+    db = duckdb.connect()
+    for name in ("barcode", "tile", "cluster_read"):
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    names = ["cluster_id", "code", "found_id", "mismatched"]
+    want = db.execute(f"SELECT {', '.join(names)} FROM ({reads.SQL['j07_demultiplex']}) ORDER BY 1").fetchall()
+    assert [tuple(r) for r in reads.j07_demultiplex(spark, str(tmp_path)).select(*names).orderBy("cluster_id").collect()] == want
+    assert [r[2] for r in want] == [1, 1, 2, None, 1, None, None]
+
+
 def test_barcode_collision(spark):
     apart = demux.expand_barcodes(spark.createDataFrame([("F", 1, 1, "G-AAA", [1, 1]), ("F", 1, 2, "T-CCC", [1, 1])], SHEET))
     assert demux.collisions(apart).count() == 0
